@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import quality, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,14 +23,25 @@ def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Every document decoded again: its number of ids and whether the text came back whole."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     ids = tokens.encode_corpus(docs)
-    n = ids.select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64(F.lit(0)).alias("_x")).drop("_x")
+    n = ids.select("doc_id", F.size("ids").alias("n_tokens"))
     back = tokens.decode_corpus(ids).select("doc_id", F.xxhash64("text").alias("h"))
     truth = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("want"))
     return n.join(back, "doc_id").join(truth, "doc_id").select("doc_id", "n_tokens", (F.col("h") == F.col("want")).alias("same"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that aren't prose."""
+    return quality.not_prose(_table(spark, folder, "documents"), _table(spark, folder, "common_words")).select(F.col("row_id").alias("doc_id"))
+
+
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics and the outlier score of every document."""
+    scored = quality.scored_statistics(_table(spark, folder, "documents"), _table(spark, folder, "common_words"))
+    return scored.withColumnRenamed("row_id", "doc_id").drop("state")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+    return {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

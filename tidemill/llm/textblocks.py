@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
@@ -73,7 +74,7 @@ def decode(texts: pa.Array) -> Block:
 
 def slices(texts: pa.Array, limit: int) -> list[tuple[int, int]]:
     """Row ranges holding about ``limit`` bytes of text each; a longer text is a range of its own."""
-    lengths = np.asarray(pa.compute.binary_length(texts).fill_null(0)).astype(np.int64)
+    lengths = np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64)
     ends = np.cumsum(lengths)
     out, a = [], 0
     while a < len(lengths):
