@@ -7,13 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, tokens
+from ..plans.cut import table_cut
+from . import distinct, mixture, quality, quantiles, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _daily_uids(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of the uids of each day, country and device; blank and null names are ''. Rows without time or valid uid are left out."""
+    log = _table(spark, folder, "crashlog").where("log_time is not null and uid > 0")
+    name = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit("")).alias(c)
+    rows = log.select("uid", F.date_format("log_time", "yyyy-MM-dd").alias("day"), name("country"), name("device"))
+    return distinct.sketch(rows, ["day", "country", "device"], "uid")
+
+
+def p2_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Different uids per day, country, device and every combination of the two, and the same per month from the days' sketches."""
+    # days and months both build on the sketches, not on the rows
+    daily = table_cut(_daily_uids(spark, folder), "uid-sketches")
+    months = distinct.merge(daily.withColumn("day", F.substring("day", 1, 7)), ["day", "country", "device"])
+    both = daily.unionByName(months).withColumnRenamed("day", "period")
+    keys = ["country", "device"]
+    sets = distinct.grouping_sets(both, keys, ["period"])
+    return distinct.estimate(sets, ["period", "grouping", *keys])
+
+
+PROBABILITIES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of price and quantity per return flag and line status, as written, of lineitems."""
+    return quantiles.percentiles(_table(spark, folder, "lineitems"), ["l_returnflag", "l_linestatus"], ["l_extendedprice", "l_quantity"], PROBABILITIES)
+
+
+def p4_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of lineitem."""
+    return quantiles.percentiles(_table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_extendedprice", "l_quantity"], PROBABILITIES)
+
+
+def p4_months_less_one(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of lineitem per month put together from the months, and with one month taken out again."""
+    rows = _table(spark, folder, "lineitem").select("l_extendedprice", F.date_format("l_shipdate", "yyyy-MM").alias("month"))
+    every = quantiles.sketch(rows, [], ["l_extendedprice"])
+    gone = quantiles.sketch(rows.where("month = '1995-03'"), [], ["l_extendedprice"], weight=-1)
+    whole = quantiles.quantiles(every, {}, PROBABILITIES).withColumn("part", F.lit("all"))
+    less = quantiles.quantiles(every.unionByName(gone), {}, PROBABILITIES).withColumn("part", F.lit("without 1995-03"))
+    return whole.unionByName(less)
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(_table(spark, folder, "documents"))
@@ -29,6 +72,23 @@ def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return n.join(back, "doc_id").join(truth, "doc_id").select("doc_id", "n_tokens", (F.col("h") == F.col("want")).alias("same"))
 
 
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, folder, "documents").select(F.struct("doc_id", "source").alias("doc"), "text")
+    # the counts serve the plan and the result; texts are read once
+    counts = table_cut(tokens.token_counts(docs, "doc").select("doc.doc_id", "doc.source", "n_tokens"), "token-counts")
+    return mixture.repetitions(counts, _table(spark, folder, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the mixture and how often each is taken."""
+    return _mixture(spark, folder)[0]
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target, planned and real shares of the sources."""
+    return _mixture(spark, folder)[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that aren't prose."""
     return quality.not_prose(_table(spark, folder, "documents"), _table(spark, folder, "common_words")).select(F.col("row_id").alias("doc_id"))
@@ -41,7 +101,8 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p10_found": p10_found, "p10_statistics": p10_statistics}
+    named = (p2_distinct, p4_percentiles, p4_lineitem, p4_months_less_one, p8_ids, p8_round_trip, p9_mixture, p9_report, p10_found, p10_statistics)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
