@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import Series
+from ..functions.scalar import div
 
 #: Aggregates of one column. var and dev are those of the whole population; of no element all but the counts are null.
 ONE = {
     "count": F.count, "max": F.max, "min": F.min, "sum": F.sum, "avg": F.avg, "prd": lambda c: F.product(c), "var": F.var_pop, "dev": F.stddev_pop,
     "all": F.bit_and, "any": F.bit_or, "median": lambda c: F.median(c), "approxdc": lambda c: F.approx_count_distinct(c, 0.09),
 }
-#: Aggregates of two columns; the weights come first.
+#: Aggregates of two columns; the weights come first. The correlation with a constant is not-a-number.
 TWO = {
     "wsum": lambda x, y: F.sum(x.cast("double") * y), "wavg": lambda x, y: F.try_divide(F.sum(x.cast("double") * y), F.sum(x.cast("double"))),
-    "cov": F.covar_pop, "corr": F.corr,
+    "cov": F.covar_pop, "corr": lambda x, y: div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)),
 }
 
 
