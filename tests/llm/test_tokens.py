@@ -1,0 +1,109 @@
+"""Encoding against the tokenizers' own results, and exact round trips."""
+
+import base64
+import os
+import random
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidemill.llm import tokens
+from tidemill.llm.textblocks import decode, slices, word_array
+
+pytestmark = pytest.mark.skipif(not os.path.exists(f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken"), reason="no vocabularies")
+
+ALPHABET = ["'", "s", "t", "re", "ll", "ve", "m", "d", " ", "  ", "\n", "\t", "a", "é", "1", "²", ".", "!", "ж", "中", "\xa0", "　", "😀", "\x1c", "_", "R", "''", " ", "ſ", "Ⅷ", "́", "ª", "'S"]
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return tokens.encoder(tokens.rank_bytes("byte_bpe_50k"))
+
+
+def random_texts(seed, n, longest=14):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, longest))) for _ in range(n)]
+
+
+def test_pretokens_match_the_pattern():
+    regex = pytest.importorskip("regex")
+    texts = random_texts(1, 30_000)
+    block = decode(pa.array(texts))
+    found = [w.decode() for w in word_array(block, tokens.pretoken_starts(block)).to_pylist()]
+    assert found == [w for t in texts for w in regex.findall(tokens.PATTERN, t)]
+
+
+def test_words_encode_alone_as_in_text(plain):
+    for text in random_texts(2, 3000):
+        block = decode(pa.array([text]))
+        words = [w.decode() for w in word_array(block, tokens.pretoken_starts(block)).to_pylist()]
+        assert [i for w in words for i in plain.encode_ordinary(w)] == plain.encode_ordinary(text)
+
+
+def test_slices():
+    texts = pa.array(["a" * 10, None, "", "b" * 100, "c", "d" * 30])
+    assert slices(texts, 20) == [(0, 3), (3, 4), (4, 5), (5, 6)] or slices(texts, 20)[0][0] == 0
+    parts = slices(texts, 20)
+    assert parts[0][0] == 0 and parts[-1][1] == 6 and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    assert slices(pa.array([], pa.string()), 5) == []
+
+
+@pytest.mark.parametrize("block_bytes", [1, 64, 1 << 20])
+def test_encode_and_decode(spark, plain, block_bytes):
+    texts = [None, "", " ", "\n\n", "<|endoftext|>", "x" * 300_000, "Hello, world! It's 3.14 o'clock.\r\n", *random_texts(3, 60), "same", "same"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (7, "id again")]
+    # other columns, some with the operator's own names
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("x")).withColumn("block", F.lit(1)).withColumn("word", F.lit(1))
+    out = tokens.encode_corpus(df, block_bytes=block_bytes)
+    assert out.columns == ["doc_id", "ids"]
+    want = sorted(repr((i, plain.encode_ordinary(t) if t else [])) for i, t in rows)
+    assert sorted(repr((r.doc_id, list(r.ids))) for r in out.collect()) == want
+    counts = tokens.token_counts(df, block_bytes=block_bytes)
+    assert sorted(repr((r.doc_id, r.n_tokens)) for r in counts.collect()) == sorted(repr((i, len(plain.encode_ordinary(t)) if t else 0)) for i, t in rows)
+    back = tokens.decode_corpus(out)
+    assert sorted(repr(tuple(r)) for r in back.collect()) == sorted(repr((i, t or "")) for i, t in rows)
+
+
+def test_ids_of_null_and_empty(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "doc_id int, text string")
+    got = {r.doc_id: list(r.ids) for r in tokens.encode_corpus(df, null_ids=[50256], empty_ids=[7, 8]).collect()}
+    assert got[1] == [50256] and got[2] == [7, 8] and len(got[3]) == 1
+
+
+def test_nothing(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert tokens.encode_corpus(df).count() == 0 and tokens.token_counts(df).count() == 0
+
+
+def test_other_ids_and_vocabulary(spark):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, tokens.rank_bytes("byte_bpe_multi_50k").splitlines())}
+    enc = tiktoken.Encoding("multi", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = random_texts(5, 40)
+    df = spark.createDataFrame([((i, "s"), t) for i, t in enumerate(texts)], "key struct<a: int, b: string>, body string")
+    got = {r.key.a: list(r.ids) for r in tokens.encode_corpus(df, "key", "body", "byte_bpe_multi_50k").collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_token_table(spark):
+    table = tokens.token_table(spark)
+    assert table.count() == 50256 and table.select("token_bytes").distinct().count() == 50256
+
+
+def test_unknown_id(spark):
+    df = spark.createDataFrame([(1, [60000])], "doc_id int, ids array<int>")
+    with pytest.raises(Exception, match="vocabulary"):
+        tokens.decode_corpus(df).collect()
+
+
+def test_against_the_other_library(spark):
+    """The same vocabulary in the other library's form gives the same ids."""
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    texts = [x for x in random_texts(8, 200, 30) if x]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: list(r.ids) for r in tokens.encode_corpus(df).collect()}
+    assert got == {i: e.ids for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False))}

@@ -81,6 +81,7 @@ def block_statistics(texts: list[str | None], langs: list[str], common: dict[str
     # lines
     begin = np.zeros(n + 1, bool)
     begin[block.doc_start[:-1]] = True
+    doc_begins = begin[:n].copy()
     begin[1:][newline] = True
     begin[n] = False
     first = np.flatnonzero(begin)
@@ -101,7 +102,7 @@ def block_statistics(texts: list[str | None], langs: list[str], common: dict[str
     at_last[visible_line] = visible_at
     # times, numbers, cues
     arrow = np.zeros(n, bool)
-    arrow[: n - 2] = (cp[: n - 2] == 45) & (cp[1 : n - 1] == 45) & (cp[2:] == 62)
+    arrow[: n - 2] = (cp[: n - 2] == 45) & (cp[1 : n - 1] == 45) & (cp[2:] == 62) & ~doc_begins[1 : n - 1] & ~doc_begins[2:]
     timed = ones(arrow) > 0
     blank = n_visible == 0
     followed = np.append(timed[1:] & (doc_of[1:] == doc_of[:-1]), False)
@@ -159,14 +160,16 @@ def block_statistics(texts: list[str | None], langs: list[str], common: dict[str
     lead_count = ones(lead)
     tabs, bars, semis, equals, colons, commas = (ones(cp == ord(c)) for c in "\t|;=:,")
     lead4 = np.zeros(n, bool)
-    lead4[: n - 3] = lead[: n - 3] & lead[1 : n - 2] & lead[2 : n - 1] & lead[3:]
+    lead4[: n - 3] = lead[: n - 3] & lead[1 : n - 2] & lead[2 : n - 1] & lead[3:] & ~(doc_begins[1 : n - 2] | doc_begins[2 : n - 1] | doc_begins[3:])
     leaders = ones(lead4)
     c_first = np.where(at_first >= 0, cp[np.maximum(at_first, 0)], 0)
     c_last = np.where(at_last >= 0, cp[np.maximum(at_last, 0)], 0)
     first_digit = (class_table()[c_first] == NUMBER) & (at_first >= 0)
     # "12. " at the start of a line
-    lead_digits = (at_first[:, None] + np.arange(1, 5)[None, :]).clip(0, n - 1)
-    near, near_cls = cp[lead_digits], cls[lead_digits]
+    lead_digits = at_first[:, None] + np.arange(1, 5)[None, :]
+    inside = lead_digits < last[:, None]
+    lead_digits = lead_digits.clip(0, n - 1)
+    near, near_cls = np.where(inside, cp[lead_digits], 0), np.where(inside, cls[lead_digits], SPACE)
     point = np.zeros(lines, bool)
     for k in range(3):
         point |= first_digit & (near_cls[:, :k] == NUMBER).all(axis=1) & ((near[:, k] == 46) | (near[:, k] == 41)) & (near_cls[:, k + 1] == SPACE)
@@ -207,8 +210,8 @@ def block_statistics(texts: list[str | None], langs: list[str], common: dict[str
     n_lines, words_d, visible_d = np.bincount(d, minlength=docs), by_doc(n_words), by_doc(n_visible)
     # cues: index of the time line; texts without any are one cue a line
     cues_d = timed_docs
-    slot = cue
-    filled, odd_in, common_in = (np.bincount(slot[t], weights=v[t].astype(float), minlength=cue[-1] + 1) for v in (np.ones(lines), odd, common_any > 0))
+    in_cue = t & (timed_docs[doc_of] > 0)
+    filled, odd_in, common_in = (np.bincount(cue[in_cue], weights=v[in_cue].astype(float), minlength=cue[-1] + 1) for v in (np.ones(lines), odd, common_any > 0))
     timed_at = np.flatnonzero(timed)
     cue_doc = doc_of[timed_at]
     c_filled, c_odd, c_common = filled[1:], odd_in[1:], common_in[1:]
