@@ -185,6 +185,17 @@ def test_averages(ibm):
     assert near(got(windows.window_atr(ibm, "close", 3).df, "atr"), atr)
 
 
+def test_true_range(ibm):
+    ranged = ibm.with_column("r", windows.true_range(ibm, "high", "low", "close"))
+    assert near(got(ranged.df, "r"), [1.0, 9.7, 10.8, 10.8, 10.8])
+    smooth = reshape.cut_head(windows.window_atr(ranged, "r", 3), 2)
+    assert near(got(smooth.df, "atr"), [7.16667, 8.37778, 9.18519], 1e-4)
+
+
+def test_strength(ibm):
+    assert got(windows.strength(ibm, "close", 3).df, "rsi")[1:] == [100.0] * 4
+
+
 def test_grid_and_cumulative(ibm):
     assert near(got(agg.grid(ibm, 2, r=agg.one("sum", "close")), "r", "cell"), [30.7, 70.4, 50.5])
     assert near(got(ibm.df.select("pos", windows.cumulative(ibm, "sum", "close").alias("r")), "r"), [10.5, 30.7, 60.9, 101.1, 151.6])

@@ -44,8 +44,9 @@ def window_atr(s: Series, value: str, n: int, out: str = "atr") -> Series:
 
 
 def true_range(s: Series, high: str, low: str, close: str) -> Column:
-    """The largest of high - low and the distances of the close from the previous high and low; high - low for the first element."""
-    gap = F.greatest(F.abs(F.lag(high).over(s.w) - F.col(close)), F.abs(F.lag(low).over(s.w) - F.col(close)))
+    """The largest of high - low and the distances of high and low from the close before; high - low for the first element."""
+    before = F.lag(close).over(s.w)
+    gap = F.greatest(F.abs(F.col(high) - before), F.abs(F.col(low) - before))
     return F.greatest(F.col(high) - F.col(low), F.coalesce(gap, F.lit(0.0)))
 
 

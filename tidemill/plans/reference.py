@@ -17,6 +17,7 @@ from ..functions import scalar as S
 from ..functions import types as ty
 from ..functions.timeaxis import micros
 from ..operators import agg, dictionary, ranking, reshape, runs, special, tsjoin, udf, windows
+from ..operators.readings import quote_readings
 from ..sources.store import Store
 from . import single
 from .cut import new_folder
@@ -271,6 +272,54 @@ def _(spark, folder):
     return out.df.select("user_id", "pos", r6("rsi").alias("rsi"))
 
 
+
+
+def _quotes(spark, folder) -> Series:
+    """Readings of the quotes with finite prices, in order of day."""
+    rows = quote_readings(_table(spark, folder, "quotes"), ["open", "high", "low", "close", "volume"])
+    fine = F.lit(True)
+    for c in ("open", "high", "low", "close"):
+        rows = rows.withColumn(c, F.col(c).cast("double"))
+        fine = fine & F.coalesce(F.abs(c) < float("inf"), F.lit(False)) & ~F.isnan(c)
+    return Series.of(rows.where(fine & F.col("volume").isNotNull()), ["day"], ["symbol"])
+
+
+_QUOTES = """with recursive r as (select upper(trim(symbol)) as symbol, day, open::double as open, high::double as high, low::double as low, close::double as close, volume from quotes where symbol is not null and day is not null
+    qualify row_number() over (partition by upper(trim(symbol)), day order by loaded_at desc nulls last, open desc nulls last, high desc nulls last, low desc nulls last, close desc nulls last, volume desc nulls last) = 1),
+q as (select *, row_number() over (partition by symbol order by day) - 1 as pos from r where isfinite(open) and isfinite(high) and isfinite(low) and isfinite(close) and volume is not null)"""
+
+
+@query("quotes_vwap", f"{_QUOTES} select symbol, round(sum(volume * close) / sum(volume), 4) as vwap, count(*) as n from q group by symbol having sum(volume) <> 0")
+def _(spark, folder):
+    s = _quotes(spark, folder)
+    return agg.grand(s.df, ["symbol"], total=F.sum("volume"), vwap=F.round(agg.two("wavg", "volume", "close"), 4), n=F.count("*")).where("total <> 0").drop("total")
+
+
+@query("quotes_growth_days", f"{_QUOTES} select symbol, pos, strftime(day, '%Y-%m-%d') as day from q where close > open * 1.01")
+def _(spark, folder):
+    s = _quotes(spark, folder)
+    days = s.with_column("d", F.date_format("day", "yyyy-MM-dd"))
+    return days.df.where(F.col("close") > F.col("open") * 1.01).select("symbol", "pos", F.col("d").alias("day"))
+
+
+@query(
+    "quotes_true_range",
+    f"""{_QUOTES}, t as (select symbol, pos, greatest(high - low, coalesce(greatest(abs(high - lag(close) over w), abs(low - lag(close) over w)), 0)) as r from q window w as (partition by symbol order by pos)),
+    m as (select symbol, pos, r as a from t where pos = 0 union all select t.symbol, t.pos, (m.a * (least(t.pos + 1, 14) - 1) + t.r) / least(t.pos + 1, 14) from m join t on t.symbol = m.symbol and t.pos = m.pos + 1)
+    select symbol, pos - 13 as pos, round(a, 4) as result from m where pos >= 13""",
+)
+def _(spark, folder):
+    s = _quotes(spark, folder)
+    ranged = s.with_column("r", windows.true_range(s, "high", "low", "close"))
+    smooth = reshape.cut_head(windows.window_atr(ranged, "r", 14, "result"), 13)
+    return smooth.df.select("symbol", "pos", F.round("result", 4).alias("result"))
+
+
+@query("quotes_quintiles", f"{_QUOTES}, k as (select symbol, close, row_number() over (partition by symbol order by close) - 1 as k, count(*) over (partition by symbol) as n from q), p as (select *, unnest([0, 1, 2, 3, 4, 5]) as part from k) select symbol, part, close as v from p where (part < 5 and k = n * part // 5) or (part = 5 and k = n - 1)")
+def _(spark, folder):
+    return ranking.quantiles(_quotes(spark, folder), "close", 5)
+
+
 # running aggregates
 
 for _kind in ("max", "min", "sum", "avg", "var", "dev", "prd"):
