@@ -29,9 +29,11 @@ def amount(c: Column) -> Column:
 
 def daily_amounts(readings: DataFrame, entity: str, day: str, values: dict[str, Column]) -> DataFrame:
     """(entity, day_no, <name>_sum, <name>_n, ...) per entity and day; day_no is days since 1970-01-01."""
-    picked = readings.select(F.col(entity).alias("entity"), F.unix_date(day).cast("long").alias("day_no"), *[amount(c).alias(n) for n, c in values.items()])
+    picked = readings.select(F.col(entity).alias("entity"), F.col(day).alias("_day"), *[amount(c).alias(n) for n, c in values.items()])
     sums = [x for n in values for x in (F.coalesce(F.sum(n), F.lit(0)).cast(AMOUNT).alias(f"{n}_sum"), F.count(n).cast("long").alias(f"{n}_n"))]
-    return picked.where("entity is not null and day_no is not null").groupBy("entity", "day_no").agg(*sums)
+    # grouped by the columns as they come: readings that are already one row per entity and day aren't shuffled again
+    daily = picked.where("entity is not null and _day is not null").groupBy("entity", "_day").agg(*sums)
+    return daily.select("entity", F.unix_date("_day").cast("long").alias("day_no"), *[f"{n}_{x}" for n in values for x in ("sum", "n")])
 
 
 def _measures(daily: DataFrame) -> list[str]:
@@ -50,22 +52,22 @@ def history(daily: DataFrame, periods: list[int], version: int = 1) -> DataFrame
     long as its span of days at most.
     """
     measures = _measures(daily)
-    span = daily.groupBy("entity").agg(F.min("day_no").alias("a"), F.max("day_no").alias("b"))
-    zero = {m: F.lit(0).cast(daily.schema[m].dataType) for m in measures}
-    # every (day, change) an amount makes: its arrival, and its expiry from each period
-    arrive = [F.col(m).alias(_column(m, p)) for m in measures for p in periods]
-    changes = [F.struct(F.col("day_no").alias("day_no"), *arrive)]
-    for p in periods:
-        leave = [(-F.col(m) if p == q else zero[m]).cast(daily.schema[m].dataType).alias(_column(m, q)) for m in measures for q in periods]
-        changes.append(F.struct((F.col("day_no") + p).alias("day_no"), *leave))
     states = [_column(m, p) for m in measures for p in periods]
-    moved = daily.select("entity", F.inline(F.array(*changes)))
-    days = span.select("entity", F.explode(F.sequence("a", "b")).alias("day_no"), "b", *[zero[m].alias(_column(m, p)) for m in measures for p in periods])
-    net = moved.withColumn("b", F.lit(None).cast("long")).unionByName(days).groupBy("entity", "day_no").agg(F.max("b").alias("b"), *[F.sum(s).alias(s) for s in states])
-    upto = Window.partitionBy("entity").orderBy("day_no").rowsBetween(Window.unboundedPreceding, 0)
     kind = {_column(m, p): daily.schema[m].dataType for m in measures for p in periods}
-    out = net.select("entity", "day_no", "b", *[F.sum(s).over(upto).cast(kind[s]).alias(s) for s in states])
-    return out.where("b is not null").select("entity", "day_no", F.lit(version).cast("long").alias("version"), *states)
+    none = [F.lit(None).cast(kind[s]).alias(s) for s in states]
+    by_day = Window.partitionBy("entity").orderBy("day_no")
+    ahead = daily.withColumn("_next", F.lead("day_no").over(by_day))
+    # every amount arrives on its day and leaves each period one period later; it also brings the days up to the next amount
+    moves = [F.struct(F.col("day_no").alias("day"), F.lit(False).alias("is_day"), *[F.col(m).alias(_column(m, p)) for m in measures for p in periods])]
+    for p in periods:
+        leave = [(-F.col(m)).cast(daily.schema[m].dataType).alias(_column(m, q)) if p == q else F.lit(None).cast(daily.schema[m].dataType).alias(_column(m, q)) for m in measures for q in periods]
+        moves.append(F.struct((F.col("day_no") + p).alias("day"), F.lit(False).alias("is_day"), *leave))
+    days = F.transform(F.sequence("day_no", F.coalesce(F.col("_next") - 1, F.col("day_no"))), lambda d: F.struct(d.alias("day"), F.lit(True).alias("is_day"), *none))
+    # one shuffle, by entity: the rows above come from it and the running sums stay within it
+    moved = ahead.select("entity", F.inline(F.concat(F.array(*moves), days)))
+    upto = Window.partitionBy("entity").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+    out = moved.select("entity", "day", "is_day", *[F.sum(s).over(upto).cast(kind[s]).alias(s) for s in states])
+    return out.where("is_day").select("entity", F.col("day").alias("day_no"), F.lit(version).cast("long").alias("version"), *states)
 
 
 def advance(yesterday: DataFrame, daily: DataFrame, day_no: int, periods: list[int], version: int = 1) -> DataFrame:
