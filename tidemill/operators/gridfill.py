@@ -37,8 +37,9 @@ def regular_grid(
     size = chunk or (366 if isinstance(readings.schema[time].dataType, T.DateType) else 7 * MICROS_A_DAY)
     rows = readings.select(F.col(source).alias("source"), axis(readings, time).alias("t"), F.col(value).cast("double").alias("v"))
     rows = rows.where("source is not null and t is not null and v is not null and not isnan(v)")
-    rows = rows.groupBy("source", "t").agg(F.max("v").alias("v")).withColumn("chunk", F.floor(F.col("t") / size).cast("long"))
-    ends = rows.groupBy("source", "chunk").agg(F.min(F.struct("t", "v")).alias("first"), F.max("t").alias("last_t"))
+    # of equal times the greatest value counts: the greatest (t, v) looking back, the least (t, -v) looking ahead
+    rows = rows.select("source", F.floor(F.col("t") / size).cast("long").alias("chunk"), "t", F.struct("t", "v").alias("r"), F.struct("t", (-F.col("v")).alias("v")).alias("ahead"))
+    ends = rows.groupBy("source", "chunk").agg(F.min("ahead").alias("first"), F.max("t").alias("last_t"))
     order = Window.partitionBy("source").orderBy("chunk")
     ends = ends.withColumn("after", F.lead("first").over(order))
     until = F.when(F.col("after").isNull(), F.col("last_t")).otherwise(F.col("after.t") - 1)
@@ -50,15 +51,16 @@ def regular_grid(
         days = calendar.select(axis(calendar, calendar_time).alias("t")).where("t is not null").distinct()
         daily = 1 if isinstance(calendar.schema[calendar_time].dataType, T.DateType) else step
         points = span.select("source", "chunk", "after", F.explode(F.sequence(F.ceil(F.col("first.t") / daily).cast("long") * daily, "until", F.lit(daily).cast("long"))).alias("t")).join(days, "t")
-    grid = points.select("source", "chunk", "t", F.lit(None).cast("struct<t:bigint,v:double>").alias("r"), "after", F.lit(True).alias("on_grid"))
-    own = rows.select("source", "chunk", "t", F.struct("t", "v").alias("r"), F.lit(None).cast(grid.schema["after"].dataType).alias("after"), F.lit(False).alias("on_grid"))
+    pair = "struct<t:bigint,v:double>"
+    grid = points.select("source", "chunk", "t", F.lit(None).cast(pair).alias("r"), F.lit(None).cast(pair).alias("ahead"), F.col("after").cast(pair).alias("after"), F.lit(True).alias("on_grid"))
+    own = rows.select("source", "chunk", "t", "r", "ahead", F.lit(None).cast(pair).alias("after"), F.lit(False).alias("on_grid"))
     part = Window.partitionBy("source", "chunk")
     # running frames only: a frame that ends at the last row would be recomputed for every row
     upto = part.orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     onward = part.orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    merged = own.unionByName(grid).withColumn("prev", F.last("r", ignorenulls=True).over(upto)).withColumn("next", F.last("r", ignorenulls=True).over(onward))
+    merged = own.unionByName(grid).withColumn("prev", F.max("r").over(upto)).withColumn("next", F.min("ahead").over(onward))
     out = merged.where("on_grid").withColumn("next", F.coalesce("next", "after"))
-    p_t, p_v, n_t, n_v = F.col("prev.t"), F.col("prev.v"), F.col("next.t"), F.col("next.v")
+    p_t, p_v, n_t, n_v = F.col("prev.t"), F.col("prev.v"), F.col("next.t"), -F.col("next.v")
     weight = (F.col("t") - p_t) / F.nullif(n_t - p_t, F.lit(0))
     line = p_v + (n_v - p_v) * weight
     near = F.lit(True) if max_gap is None else (n_t - p_t) <= max_gap
