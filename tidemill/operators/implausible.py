@@ -95,8 +95,8 @@ def stuck_runs(x: np.ndarray, least: int, most_repeats: float) -> np.ndarray:
 
 
 def _flags(pdf: pd.DataFrame, fields: list[str], stuck: dict[str, bool], factor: float, longest: int, least: int, most_repeats: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("t", kind="stable")
-    reason = np.zeros(len(pdf), np.int64)
+    pdf = pdf.sort_values(["t", *fields], kind="stable")  # rows of equal time in an order of their own
+    reason = np.where(pdf["impossible"].to_numpy(bool), LIMITS, 0)
     for name in fields:
         x = pdf[name].to_numpy(float)
         # float32 columns arrive widened; the ratios are the same
@@ -110,8 +110,7 @@ def _flags(pdf: pd.DataFrame, fields: list[str], stuck: dict[str, bool], factor:
         if not zero_too:
             found &= x[at] != 0
         reason[at[found]] |= STUCK
-    hit = reason > 0
-    own = hit & pdf["own"].to_numpy(bool)
+    own = (reason > 0) & pdf["own"].to_numpy(bool)
     return pd.DataFrame({"source": pdf["source"].to_numpy()[own], "t": pdf["t"].to_numpy()[own], "reason": reason[own]})
 
 
@@ -125,8 +124,8 @@ def implausible(
     as no). ``fields`` are tested for spikes on the logarithm of their finite
     positive values, others are passed over as if absent. ``stuck`` names the
     fields tested for runs of equal values and whether runs of zero count. There
-    is to be one row per source and time; rows with a null in either are left
-    out. A series of fewer than three values has no spikes.
+    is to be one row per source and time (repeated rows are neighbours of each
+    other, and each is reported); rows with a null in either are left out. A series of fewer than three values has no spikes.
 
     Each source is one group of the scan, or, where a source can be longer than a
     task's memory, each ``chunk`` of its time axis, together with the ``halo``
@@ -135,7 +134,7 @@ def implausible(
     """
     rows = readings.select(F.col(source).alias("source"), axis(readings, time).alias("t"), *dict.fromkeys([*fields, *stuck]), F.coalesce(limits, F.lit(False)).alias("impossible"))
     rows = rows.where("source is not null and t is not null")
-    numeric = rows.select("source", "t", *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*fields, *stuck])])
+    numeric = rows.select("source", "t", "impossible", *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*fields, *stuck])])
     if chunk is None:
         groups = numeric.withColumn("part", F.lit(0).cast("long")).withColumn("own", F.lit(True))
     else:
@@ -147,13 +146,11 @@ def implausible(
         spread = F.array_compact(
             F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.when(F.col("_first") <= halo, F.struct((F.col("part") - 1).alias("part"), F.lit(False).alias("own"))), F.when(F.col("_last") <= halo, F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("own"))))
         )
-        groups = near.select("source", "t", *numeric.columns[2:], F.inline(spread))
+        groups = near.select(*numeric.columns, F.inline(spread))
     schema = T.StructType([T.StructField("source", rows.schema["source"].dataType), T.StructField("t", T.LongType()), T.StructField("reason", T.LongType())])
     found = groups.groupBy("source", "part").applyInPandas(lambda pdf: _flags(pdf, fields, stuck, factor, longest, least_stuck, most_repeats), schema)
-    beyond = rows.where("impossible").select("source", "t", F.lit(LIMITS).cast("long").alias("reason"))
-    reasons = found.unionByName(beyond).groupBy("source", "t").agg(F.bit_or("reason").alias("reason"))
     bit = lambda k: F.col("reason").bitwiseAND(F.lit(k)) != 0
-    return reasons.select(F.col("source").alias(source), "t", bit(LIMITS).alias("limits"), bit(SPIKE).alias("spike"), bit(STUCK).alias("stuck"))
+    return found.select(F.col("source").alias(source), "t", bit(LIMITS).alias("limits"), bit(SPIKE).alias("spike"), bit(STUCK).alias("stuck"))
 
 
 def quote_limits() -> Column:
