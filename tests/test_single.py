@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.frame import Series
-from tidemill.operators import recursive, tsjoin
+from tidemill.operators import recursive, tsjoin, windows
 from tidemill.plans import single
 
 
@@ -70,3 +70,51 @@ def test_series_without_ids(spark):
     s = Series.of(spark.createDataFrame([(3,), (1,), (2,)], "t int"), ["t"])
     assert [(r.t, r.pos) for r in s.df.orderBy("t").collect()] == [(1, 0), (2, 1), (3, 2)]
     assert Series.of(s.df.select("t").where(F.lit(False)), ["t"]).df.count() == 0
+
+
+def test_chunks_of_a_long_series_among_short_ones(spark):
+    rnd = random.Random(9)
+    rows = [("hot", t, rnd.choice([0.0, 1.5, -2.25])) for t in range(700)] + [(rnd.choice(["a", "b", "c", None]), t, rnd.choice([1.0, 3.0])) for t in range(300)] + [("one", 1, 5.0)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t bigint, v double").withColumn("u", F.monotonically_increasing_id())
+    by = {}
+    for r in sorted(df.collect(), key=lambda r: (r.t, r.u)):
+        by.setdefault(r.k, []).append(r)
+    at = {r.u: (r.k, i) for series in by.values() for i, r in enumerate(series)}
+    order, ids = ["t", "u"], ["k"]
+    for r in single.positions(df, order, "pos", ids, 6).collect():
+        assert at[r.u] == (r.k, r.pos)
+    for r in single.changes(df, order, "v", "c", ids, 6).collect():
+        k, i = at[r.u]
+        assert r.c == (by[k][i].v - by[k][i - 1].v if i else 0)
+    want = {k: pd.Series([r.v for r in series]) for k, series in by.items()}
+    for kind, f in (("sum", "cumsum"), ("min", "cummin"), ("max", "cummax")):
+        model = {k: getattr(s, f)().tolist() for k, s in want.items()}
+        for r in single.running(df, order, "v", kind, "x", ids, 6).collect():
+            k, i = at[r.u]
+            assert r.x == pytest.approx(model[k][i])
+    model = {k: s.ewm(span=5, adjust=False).mean().tolist() for k, s in want.items()}
+    for r in single.moving_average(df, order, "v", 5, "x", ids, 6).collect():
+        k, i = at[r.u]
+        assert r.x == pytest.approx(model[k][i], abs=1e-9)
+    s = Series.of(df, order, ids, spread=True)
+    assert {(r.u, r.pos) for r in s.df.collect()} == {(u, i) for u, (_, i) in at.items()}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7])
+def test_windows_on_pieces(spark, n):
+    rnd = random.Random(n)
+    rows = [("hot", t, rnd.uniform(-3, 9)) for t in range(500)] + [(k, t, rnd.uniform(-3, 9)) for k in "abc" for t in range(rnd.randrange(1, 40))]
+    df = spark.createDataFrame(rows, "k string, t bigint, v double")
+    whole = Series.of(df, ["t"], ["k"])
+    p = single.pieces(df, ["t"], n - 1, ["k"], 5)
+    for kind in ("sum", "avg", "min", "max", "var"):
+        want = {(r.k, r.t): r.x for r in whole.df.select("k", "t", windows.window(whole, kind, "v", n).alias("x")).collect()}
+        got = {(r.k, r.t): r.x for r in p.df.select("k", "t", "halo", windows.window(p, kind, "v", n).alias("x")).where("not halo").collect()}
+        assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+def test_pieces_shorter_than_the_reach(spark):
+    df = spark.createDataFrame([(t, float(t)) for t in range(40)], "t bigint, v double")
+    with pytest.raises(Exception, match="fewer rows"):
+        single.pieces(df, ["t"], 30, (), 8).df.collect()

@@ -22,10 +22,16 @@ class Series:
     pos: str = "pos"
 
     @classmethod
-    def of(cls, df: DataFrame, order: list[str], ids: list[str] | tuple[str, ...] = (), pos: str = "pos") -> Series:
-        """Positions by ``order`` within ``ids``. Without ids they are found chunk by chunk, not in one window. ``order`` should be total: rows equal in it get positions in no particular order."""
-        if not ids:
-            return cls(positions(df, order, pos), (), pos)
+    def of(cls, df: DataFrame, order: list[str], ids: list[str] | tuple[str, ...] = (), pos: str = "pos", spread: bool = False) -> Series:
+        """Positions by ``order`` within ``ids``.
+
+        Without ids, or with ``spread`` for ids of which one may hold a large share
+        of the rows, they are found chunk by chunk and not in one window an id.
+        ``order`` should be total: rows equal in it get positions in no particular
+        order.
+        """
+        if not ids or spread:
+            return cls(positions(df, order, pos, ids), tuple(ids), pos)
         w = Window.partitionBy(*ids).orderBy(*[F.col(c).asc_nulls_first() for c in order])
         return cls(df.withColumn(pos, (F.row_number().over(w) - 1).cast("long")), tuple(ids), pos)
 

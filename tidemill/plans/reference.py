@@ -415,6 +415,24 @@ def _(spark, folder):
     return single.moving_average(_table(spark, folder, "events").select("event_id", "ts", "value"), ["ts"], "value", 10).select("event_id", r6("ema").alias("result"))
 
 
+@query("spread_positions", f"{E} select user_id, event_id, pos from e")
+def _(spark, folder):
+    s = Series.of(_table(spark, folder, "events").select("user_id", "ts", "event_id"), ["ts"], ["user_id"], spread=True)
+    return s.df.select("user_id", "event_id", "pos")
+
+
+@query("spread_running_sum", "select user_id, event_id, round(sum(value) over (partition by user_id order by ts), 2) as result from events")
+def _(spark, folder):
+    rows = _table(spark, folder, "events").select("user_id", "ts", "event_id", "value")
+    return single.running(rows, ["ts"], "value", ids=["user_id"]).select("user_id", "event_id", F.round("running", 2).alias("result"))
+
+
+@query("spread_window_avg", f"{E} select user_id, event_id, round({_WINDOW['avg']}, 4) as result from e")
+def _(spark, folder):
+    p = single.pieces(_table(spark, folder, "events").select("user_id", "ts", "event_id", "value"), ["ts"], _N - 1, ["user_id"])
+    return p.df.select("user_id", "event_id", "halo", F.round(windows.window(p, "avg", "value", _N), 4).alias("result")).where("not halo").drop("halo")
+
+
 # re-shaping
 
 

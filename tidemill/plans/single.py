@@ -1,9 +1,12 @@
-"""One long series without ids: positions, changes, running totals and moving averages without an un-partitioned window.
-
-The series is range-partitioned by its order into chunks, each sorted and
-written with its chunk number. What a chunk needs from those before it (a row
-count, a last row, a running total, a carried average) is one row per chunk;
-these few rows are the only ones that meet in one place.
+"""Long series in chunks: positions, changes, running totals and moving averages of series too long for one task.
+
+The rows are range-partitioned by ids and order into chunks and written with
+their chunk number, so a long series (the only one, or one with a third of all
+rows) is several pieces, each sorted and scanned alone. What a piece needs of
+those before it (a row count, a last row, a running total, a carried average)
+comes from one row per piece. Only pieces that continue a series need it; every
+border between chunks cuts one series at most, so there are fewer of them than
+chunks, which is why they are broadcast.
 """
 
 from __future__ import annotations
@@ -14,77 +17,116 @@ from pyspark.sql import functions as F
 from .cut import table_cut
 
 
-def chunked(df: DataFrame, order: list[str], chunks: int | None = None) -> DataFrame:
-    """df with a column ``chunk``: all rows of a chunk come before all rows of the next. ``order`` should be total; rows equal in it stay in one chunk."""
+def chunked(df: DataFrame, order: list[str], ids: list[str] | tuple[str, ...] = (), chunks: int | None = None) -> DataFrame:
+    """df with a column ``chunk``: all rows of a chunk come before all rows of the next, by ids and then order. ``order`` should be total: rows equal in it stay in one chunk."""
     n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order]).withColumn("chunk", F.spark_partition_id())
+    placed = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in (*ids, *order)]).withColumn("chunk", F.spark_partition_id())
     return table_cut(placed, "chunks")
 
 
-def _inside(order: list[str]) -> Window:
-    return Window.partitionBy("chunk").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+def _piece(ids, order: list[str]):
+    return Window.partitionBy(*ids, "chunk").orderBy(*[F.col(c).asc_nulls_first() for c in order])
 
 
-def _carried(parts: DataFrame, value: Column, name: str) -> DataFrame:
-    """(chunk, name): value of all chunks before. parts has one row per chunk, so the window without partition is over as many rows as chunks."""
-    before = Window.partitionBy(F.lit(0)).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("chunk", value.over(before).alias(name))
+def _with_carried(rows: DataFrame, ids, measure: Column, carry: Column, name: str) -> DataFrame:
+    """rows with ``name``: ``carry`` (an aggregate of m) over the measures m of the series' pieces before; null in its first piece."""
+    parts = rows.groupBy(*ids, "chunk").agg(measure.alias("m"))
+    before = Window.partitionBy(*(ids or [F.lit(0)])).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = parts.withColumn("_before", F.count(F.lit(1)).over(before)).withColumn("_carry", carry.over(before)).where("_before > 0")
+    named = pieces.select(*[F.col(c).alias(f"_id{k}") for k, c in enumerate(ids)], F.col("chunk").alias("_chunk"), F.col("_carry").alias(name))
+    on = F.col("chunk") == F.col("_chunk")
+    for k, c in enumerate(ids):
+        on = on & F.col(c).eqNullSafe(F.col(f"_id{k}"))
+    return rows.join(F.broadcast(named), on, "left").drop("_chunk", *[f"_id{k}" for k in range(len(ids))])
 
 
-def positions(df: DataFrame, order: list[str], name: str = "pos", chunks: int | None = None) -> DataFrame:
-    """df with 0-based positions in the given order."""
-    rows = chunked(df, order, chunks)
-    sizes = rows.groupBy("chunk").agg(F.count("*").alias("n"))
-    base = _carried(sizes, F.sum("n"), "base")
-    numbered = rows.withColumn("_k", F.row_number().over(_inside(order)) - 1)
-    return numbered.join(F.broadcast(base), "chunk").withColumn(name, F.coalesce("base", F.lit(0)) + F.col("_k")).drop("chunk", "_k", "base")
+def positions(df: DataFrame, order: list[str], name: str = "pos", ids: list[str] | tuple[str, ...] = (), chunks: int | None = None) -> DataFrame:
+    """df with 0-based positions within ids in the given order."""
+    rows = _with_carried(chunked(df, order, ids, chunks), ids, F.count(F.lit(1)), F.sum("m"), "_base")
+    number = F.coalesce("_base", F.lit(0)) + F.row_number().over(_piece(ids, order)) - 1
+    return rows.withColumn(name, number.cast("long")).drop("chunk", "_base")
 
 
-def changes(df: DataFrame, order: list[str], value: str, name: str = "change", chunks: int | None = None) -> DataFrame:
+def changes(df: DataFrame, order: list[str], value: str, name: str = "change", ids: list[str] | tuple[str, ...] = (), chunks: int | None = None) -> DataFrame:
     """df with value minus the value of the row before; 0 for the first row."""
-    rows = chunked(df, order, chunks)
-    last = rows.groupBy("chunk").agg(F.max_by(value, F.struct(*order)).alias("v"))
-    base = _carried(last, F.last("v"), "base")
-    joined = rows.join(F.broadcast(base), "chunk")
-    before = F.coalesce(F.lag(value).over(_inside(order)), F.col("base"))
-    first = F.lit(0)
-    return joined.withColumn("_b", before).withColumn(name, F.when(F.col("_b").isNull(), first).otherwise(F.col(value) - F.col("_b"))).drop("chunk", "base", "_b")
+    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))
+    rows = _with_carried(chunked(df, order, ids, chunks), ids, last, F.last("m"), "_base")
+    before = F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(_piece(ids, order)), F.col("_base"))
+    joined = rows.withColumn("_b", before)
+    return joined.withColumn(name, F.when(F.col("_b").isNull(), F.lit(0)).otherwise(F.col(value) - F.col("_b.v"))).drop("chunk", "_base", "_b")
 
 
-def running(df: DataFrame, order: list[str], value: str, kind: str = "sum", name: str = "running", chunks: int | None = None) -> DataFrame:
-    """df with the running sum, count, min or max of value."""
+def running(df: DataFrame, order: list[str], value: str, kind: str = "sum", name: str = "running", ids: list[str] | tuple[str, ...] = (), chunks: int | None = None) -> DataFrame:
+    """df with the running sum, count, min or max of value within ids."""
     inner = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[kind]
     outer = F.sum if kind == "count" else inner
-    rows = chunked(df, order, chunks)
-    base = _carried(rows.groupBy("chunk").agg(inner(value).alias("v")), outer("v"), "base")
-    own = rows.withColumn("_v", inner(value).over(_inside(order).rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(base), "chunk")
+    rows = _with_carried(chunked(df, order, ids, chunks), ids, inner(value), outer("m"), "_base")
+    own = rows.withColumn("_v", inner(value).over(_piece(ids, order).rowsBetween(Window.unboundedPreceding, 0)))
     if kind in ("sum", "count"):
-        both = F.when(F.col("base").isNull(), F.col("_v")).otherwise(F.coalesce("_v", F.lit(0)) + F.col("base"))
+        both = F.when(F.col("_base").isNull(), F.col("_v")).otherwise(F.coalesce("_v", F.lit(0)) + F.col("_base"))
     else:
-        both = F.least("_v", "base") if kind == "min" else F.greatest("_v", "base")
-    return own.withColumn(name, both).drop("chunk", "_v", "base")
+        both = F.least("_v", "_base") if kind == "min" else F.greatest("_v", "_base")
+    return own.withColumn(name, both).drop("chunk", "_v", "_base")
 
 
-def moving_average(df: DataFrame, order: list[str], value: str, n: int, name: str = "ema", chunks: int | None = None) -> DataFrame:
-    """df with the exponential moving average of weight 2 / (n + 1), seeded with the first value.
+def moving_average(df: DataFrame, order: list[str], value: str, n: int, name: str = "ema", ids: list[str] | tuple[str, ...] = (), chunks: int | None = None) -> DataFrame:
+    """df with the exponential moving average of weight 2 / (n + 1) within ids, seeded with the first value. value has no nulls.
 
-    Within a chunk the average is the one from zero plus the carried average
-    times a power of the kept share, so chunks are scanned independently and
-    only their last values are carried from one to the next.
+    A piece is scanned as if its series began there. Had it begun with another
+    average, every result would differ by a power of the kept share times the
+    difference, so a piece that continues a series is corrected by one figure.
+    The figures follow from one another through the pieces of a series; there are
+    at most two pieces per chunk in series that have several.
     """
     from ..operators.recursive import scan_average
 
-    alpha = 2.0 / (n + 1)
-    rows = chunked(df, order, chunks)
-    ranked = rows.withColumn("_k", F.row_number().over(_inside(order)) - 1)
-    scanned = table_cut(scan_average(ranked, ["chunk"], "_k", value, alpha, "_own", seed=0.0), "averages")
-    ends = scanned.groupBy("chunk").agg(F.max_by("_own", "_k").alias("own"), F.count("*").alias("n"), F.min_by(value, "_k").alias("first")).orderBy("chunk").collect()
-    carry, at = [], None
-    for row in ends:
-        if at is None:
-            at = float(row["first"])  # the first value stands for all before it
-        carry.append((row["chunk"], at))
-        at = row["own"] + (1 - alpha) ** row["n"] * at
-    base = df.sparkSession.createDataFrame(carry, "chunk int, carried double")
-    out = scanned.join(F.broadcast(base), "chunk")
-    return out.withColumn(name, F.col("_own") + F.pow(F.lit(1 - alpha), F.col("_k") + 1) * F.col("carried")).drop("chunk", "_k", "_own", "carried")
+    keep = 1 - 2.0 / (n + 1)
+    rows = chunked(df, order, ids, chunks)
+    ranked = rows.withColumn("_k", F.row_number().over(_piece(ids, order)) - 1)
+    scanned = table_cut(scan_average(ranked, [*ids, "chunk"], "_k", value, 1 - keep, "_own"), "averages")
+    names = [f"_id{k}" for k in range(len(ids))]
+    ends = scanned.groupBy(*ids, "chunk").agg(F.max_by("_own", "_k").alias("own"), F.count("*").alias("n"), F.min_by(value, "_k").alias("first"))
+    several = ends.withColumn("_pieces", F.count(F.lit(1)).over(Window.partitionBy(*(ids or [F.lit(0)])))).where("_pieces > 1").orderBy(*ids, "chunk").collect()
+    shift, at, series = [], 0.0, None
+    for row in several:
+        key = tuple(row[c] for c in ids)
+        if key != series:
+            series, at = key, row["own"]
+            continue
+        delta = at - row["first"]
+        shift.append((*key, row["chunk"], float(delta)))
+        at = row["own"] + keep ** row["n"] * delta
+    fields = ", ".join([*(f"{a} {df.schema[c].dataType.simpleString()}" for a, c in zip(names, ids)), "_chunk int", "_delta double"])
+    on = F.col("chunk") == F.col("_chunk")
+    for a, c in zip(names, ids):
+        on = on & F.col(c).eqNullSafe(F.col(a))
+    out = scanned.join(F.broadcast(df.sparkSession.createDataFrame(shift, fields)), on, "left")
+    return out.withColumn(name, F.col("_own") + F.pow(F.lit(keep), F.col("_k") + 1) * F.coalesce("_delta", F.lit(0.0))).drop("chunk", "_k", "_own", "_chunk", "_delta", *names)
+
+
+def pieces(df: DataFrame, order: list[str], reach: int, ids: list[str] | tuple[str, ...] = (), chunks: int | None = None):
+    """The pieces of long series as series of their own, each led by the ``reach`` rows before it.
+
+    Those rows have ``halo`` true and are to be dropped after the computation.
+    Whatever looks back at most reach rows (moving windows of reach + 1 elements,
+    changes) has the same result on a piece as on the whole series, the first
+    reach elements of a series included. Chunks must hold at least reach rows;
+    fewer are an error.
+    """
+    from ..frame import Series
+
+    rows = chunked(df, order, ids, chunks).withColumn("halo", F.lit(False))
+    by_series = Window.partitionBy(*(ids or [F.lit(0)]))
+    parts = rows.groupBy(*ids, "chunk").agg(F.count(F.lit(1)).alias("_n"))
+    linked = parts.withColumn("_next", F.lead("chunk").over(by_series.orderBy("chunk"))).withColumn("_first", F.min("chunk").over(by_series)).where("_next is not null")
+    short = (F.col("_n") < reach) & (F.col("chunk") != F.col("_first"))
+    linked = linked.withColumn("_next", F.when(short, F.raise_error(F.lit("a chunk holds fewer rows than the reach")).cast("int")).otherwise(F.col("_next")))
+    named = linked.select(*[F.col(c).alias(f"_id{k}") for k, c in enumerate(ids)], F.col("chunk").alias("_chunk"), "_next")
+    on = F.col("chunk") == F.col("_chunk")
+    for k, c in enumerate(ids):
+        on = on & F.col(c).eqNullSafe(F.col(f"_id{k}"))
+    back = Window.partitionBy(*ids, "chunk").orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    # pieces that go on: fewer than chunks
+    ends = rows.join(F.broadcast(named), on).withColumn("_k", F.row_number().over(back)).where(F.col("_k") <= reach)
+    lead = ends.withColumn("chunk", F.col("_next")).withColumn("halo", F.lit(True)).select(*rows.columns)
+    return Series.of(rows.unionByName(lead), order, [*ids, "chunk"], "piece_pos")
