@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,24 +94,28 @@ def stuck_runs(x: np.ndarray, least: int, most_repeats: float) -> np.ndarray:
     return out
 
 
-def _flags(pdf: pd.DataFrame, fields: list[str], stuck: dict[str, bool], factor: float, longest: int, least: int, most_repeats: float) -> pd.DataFrame:
-    pdf = pdf.sort_values(["t", *fields], kind="stable")  # rows of equal time in an order of their own
-    reason = np.where(pdf["impossible"].to_numpy(bool), LIMITS, 0)
+def _flags(table: pa.Table, fields: list[str], stuck: dict[str, bool], factor: float, longest: int, least: int, most_repeats: float) -> pa.Table:
+    """One source's readings -> those with a reason."""
+    t = table["t"].to_numpy()
+    values = {c: np.asarray(table[c].to_numpy(), float) for c in dict.fromkeys([*fields, *stuck])}
+    order = np.argsort(t, kind="stable")
+    if (np.diff(t[order]) == 0).any():  # rows of equal time in an order of their own
+        order = np.lexsort((*reversed(list(values.values())), t))
+    reason = np.where(table["impossible"].to_numpy()[order], LIMITS, 0)
+    values = {c: x[order] for c, x in values.items()}
     for name in fields:
-        x = pdf[name].to_numpy(float)
-        # float32 columns arrive widened; the ratios are the same
-        with np.errstate(all="ignore"):
-            at = np.flatnonzero(np.isfinite(x) & (x > 0))
+        x = values[name]
+        at = np.flatnonzero(np.isfinite(x) & (x > 0))
         reason[at[additive_outliers(np.log(x[at]), factor, longest)]] |= SPIKE
     for name, zero_too in stuck.items():
-        x = pdf[name].to_numpy(float)
+        x = values[name]
         at = np.flatnonzero(~np.isnan(x))
         found = stuck_runs(x[at], least, most_repeats)
         if not zero_too:
             found &= x[at] != 0
         reason[at[found]] |= STUCK
-    own = (reason > 0) & pdf["own"].to_numpy(bool)
-    return pd.DataFrame({"source": pdf["source"].to_numpy()[own], "t": pdf["t"].to_numpy()[own], "reason": reason[own]})
+    hit = np.flatnonzero((reason > 0) & table["own"].to_numpy()[order])
+    return pa.table({"source": table["source"].take(pa.array(order[hit])), "t": pa.array(t[order[hit]], pa.int64()), "reason": pa.array(reason[hit], pa.int64())})
 
 
 def implausible(
@@ -148,7 +152,7 @@ def implausible(
         )
         groups = near.select(*numeric.columns, F.inline(spread))
     schema = T.StructType([T.StructField("source", rows.schema["source"].dataType), T.StructField("t", T.LongType()), T.StructField("reason", T.LongType())])
-    found = groups.groupBy("source", "part").applyInPandas(lambda pdf: _flags(pdf, fields, stuck, factor, longest, least_stuck, most_repeats), schema)
+    found = groups.groupBy("source", "part").applyInArrow(lambda table: _flags(table, fields, stuck, factor, longest, least_stuck, most_repeats), schema)
     bit = lambda k: F.col("reason").bitwiseAND(F.lit(k)) != 0
     return found.select(F.col("source").alias(source), "t", bit(LIMITS).alias("limits"), bit(SPIKE).alias("spike"), bit(STUCK).alias("stuck"))
 
