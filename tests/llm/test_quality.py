@@ -119,7 +119,7 @@ def test_not_prose(spark):
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_labelled_documents(spark):
-    """Held-out accuracy: no label plays a part in finding."""
+    """Accuracy on labels that play no part in finding."""
     read = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
     found = {r.row_id for r in Q.not_prose(read("documents"), read("common_words")).collect()}
     labels = {r.doc_id: r.label for r in read("doc_labels").collect()}
