@@ -117,6 +117,17 @@ def test_not_prose(spark):
     assert scored.count() == len(rows) and scored.where("outlier_score is null").count() == 3
 
 
+@pytest.mark.parametrize("odd", ["", "Bralouth ........ 12"])
+def test_not_prose_however_frequent(spark, odd):
+    """A third of a language is copies of one document without text in its cues, or of one list."""
+    rnd = random.Random(8)
+    vocab = ["the", "a", "cat", "dog", "sea", "and", "is", "it", "grey", "old", "went", "there"]
+    speech = lambda: " ".join(rnd.choice(vocab) for _ in range(7)).capitalize() + rnd.choice([".", "!", "?"])
+    rows = [(i, cues(*(speech() for _ in range(8))), "en") for i in range(80)] + [(i, cues(*[odd] * 8), "en") for i in range(80, 120)]
+    words = spark.createDataFrame([("en", w, k) for k, w in enumerate(["the", "a", "and", "is", "it"])], "lang string, word string, word_rank int")
+    assert {r.row_id for r in Q.not_prose(make(spark, rows), words).collect()} == set(range(80, 120))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_labelled_documents(spark):
     """Accuracy on labels that play no part in finding."""

@@ -302,12 +302,13 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc
     return table_cut(rows.mapInArrow(lambda it: _statistics(it, common, arrow, block_bytes), schema), "text-statistics")
 
 
-def exact_ranks(values: DataFrame, group: list[str], value: str, count: str, partitions: int | None = None) -> DataFrame:
+def exact_ranks(values: DataFrame, group: list[str], value: str, count: str, partitions: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Of each distinct (group, value) with its count: the rows of the group below it, up to it, and in all.
 
     The distinct values are range-partitioned by (group, value) and sorted; a
     partition's running counts become ranks by adding the counts of the
     partitions before it, of which there is one figure per partition and group.
+    The columns of keep go along.
     """
     spark = values.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -322,57 +323,74 @@ def exact_ranks(values: DataFrame, group: list[str], value: str, count: str, par
     )
     running = placed.withColumn("in_part", F.sum(count).over(Window.partitionBy(*group, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     return running.join(offsets, [*group, "part"]).select(
-        *group, value, count, (F.col("before") + F.col("in_part") - F.col(count)).alias("n_below"), (F.col("before") + F.col("in_part")).alias("n_upto"), "n_all"
+        *group, value, count, *keep, (F.col("before") + F.col("in_part") - F.col(count)).alias("n_below"), (F.col("before") + F.col("in_part")).alias("n_upto"), "n_all"
     )
 
 
-def outlier_scores(stats: DataFrame, tails: dict[str, str] | None = None, least_group: int = LEAST_GROUP, hot_share: float = 0.005) -> DataFrame:
-    """row and outlier_score: over the statistics, the sum of -ln of the empirical tail probability within the language.
+def outlier_scores(stats: DataFrame, tails: dict[str, str] | None = None, least_group: int = LEAST_GROUP, hot_share: float = 0.005, most_odd: float | None = None) -> DataFrame:
+    """row, outlier_score and full_tail: over the statistics, the sum of -ln of the empirical tail probability within the language.
 
     The tail of a value x is P(X >= x) on the right and P(X <= x) on the left;
     'both' takes the smaller, doubled and at most 1. Rows without text have no
-    score and take no part in the ranks. Values that many rows share (zeros,
-    mostly) are joined by broadcast: a share of at least hot_share of a group
-    leaves at most 1 / hot_share of them a group and statistic.
+    score and take no part in the ranks. With most_odd the ranks are those among
+    the texts of the language with at most that share of odd cues, its prose, and
+    a tail is (rows in it + 1) / (rows + 1): the score of a text then doesn't fall
+    as others like it become frequent. full_tail is the greatest that one tail can
+    add, 0 where there is nothing to rank among. Values that many rows share
+    (zeros, mostly) are joined by broadcast: a share of at least hot_share of a
+    group leaves at most 1 / hot_share of them a group and statistic.
     """
     tails = tails or TAILS
     index = {name: k for k, name in enumerate(STATISTICS)}
     rows = stats.where("state = 2")
     sizes = rows.groupBy("lang_key").agg(F.count("*").alias("group_n"))
-    keys = sizes.select("lang_key", F.when(F.col("group_n") >= least_group, F.col("lang_key")).otherwise("").alias("lang_group"))
+    keys = sizes.select("lang_key", F.when(F.col("group_n") >= least_group, F.col("lang_key")).otherwise("").alias("lang_group"), "group_n")
+    keys = keys.withColumn("group_n", F.sum("group_n").over(Window.partitionBy("lang_group")))
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col("stats")[index[name]].alias("v")) for k, name in enumerate(tails)])
+    ranked = F.lit(1) if most_odd is None else F.when(F.col("stats")[index["odd_cues"]] <= most_odd, 1).otherwise(0)
+    more = 0 if most_odd is None else 1
     # lang_key is one of the languages of the common words or '', so this side has as many rows as those
-    long = rows.join(F.broadcast(keys), "lang_key").select("row", "lang_group", F.inline(pairs))
-    counts = long.groupBy("lang_group", "k", "v").agg(F.count("*").alias("n"))
-    ranks = exact_ranks(counts, ["lang_group", "k"], "v", "n")
-    right, left = (F.col("n_all") - F.col("n_below")) / F.col("n_all"), F.col("n_upto") / F.col("n_all")
+    long = rows.join(F.broadcast(keys), "lang_key").select("row", "lang_group", "group_n", ranked.alias("ranked"), F.inline(pairs))
+    counts = long.groupBy("lang_group", "k", "v").agg(F.sum("ranked").alias("n"), F.count("*").alias("n_rows"), F.first("group_n").alias("group_n"))
+    ranks = exact_ranks(counts, ["lang_group", "k"], "v", "n", keep=("n_rows", "group_n"))
+    long = long.drop("group_n", "ranked")
+    n_all = F.col("n_all") + more
+    right, left = (n_all - F.col("n_below")) / n_all, (F.col("n_upto") + more) / n_all
     sides = list(tails.values())
     of = lambda side: F.col("k").isin([k for k, s in enumerate(sides) if s == side])
     tail = F.when(of("right"), right).when(of("left"), left).otherwise(F.least(2 * right, 2 * left, F.lit(1.0)))
-    ranks = table_cut(ranks.select("lang_group", "k", "v", (F.col("n") >= hot_share * F.col("n_all")).alias("hot"), (-F.log(tail)).alias("nats")), "ranks")
+    ranks = table_cut(ranks.select("lang_group", "k", "v", (F.col("n_rows") >= hot_share * F.col("group_n")).alias("hot"), (-F.log(tail)).alias("nats"), F.log(n_all).alias("full")), "ranks")
     on = ["lang_group", "k", "v"]
-    hot = F.broadcast(ranks.where("hot").select(*on, F.col("nats").alias("hot_nats")))
+    hot = F.broadcast(ranks.where("hot").select(*on, F.col("nats").alias("hot_nats"), F.col("full").alias("hot_full")))
     first = long.join(hot, on, "left")
-    known = first.where("hot_nats is not null").groupBy("row").agg(F.sum("hot_nats").alias("nats"))
-    rest = first.where("hot_nats is null").drop("hot_nats").join(ranks.where("not hot").select(*on, "nats"), on).groupBy("row").agg(F.sum("nats").alias("nats"))
-    return known.unionByName(rest).groupBy("row").agg(F.sum("nats").alias("outlier_score"))
+    known = first.where("hot_nats is not null").groupBy("row").agg(F.sum("hot_nats").alias("nats"), F.max("hot_full").alias("full"))
+    rest = first.where("hot_nats is null").drop("hot_nats", "hot_full").join(ranks.where("not hot").select(*on, "nats", "full"), on).groupBy("row").agg(F.sum("nats").alias("nats"), F.max("full").alias("full"))
+    return known.unionByName(rest).groupBy("row").agg(F.sum("nats").alias("outlier_score"), F.max("full").alias("full_tail"))
 
 
-def scored_statistics(docs: DataFrame, common_words: DataFrame, **columns) -> DataFrame:
-    """row_id, state, every statistic by name, and outlier_score (null without text)."""
+#: Share of odd cues up to which a text counts as prose. The bound lies below a half, as cues of a list that read like speech count as speech.
+MOST_ODD = 0.4
+
+
+def scored_statistics(docs: DataFrame, common_words: DataFrame, most_odd: float = MOST_ODD, **columns) -> DataFrame:
+    """row_id, state, every statistic by name, and outlier_score and full_tail among the prose of the language (null without text)."""
     stats = text_statistics(docs, common_words, **columns)
-    scores = outlier_scores(stats)
+    scores = outlier_scores(stats, most_odd=most_odd)
     named = [F.when(F.col("state") > 0, F.col("stats")[k]).alias(name) for k, name in enumerate(STATISTICS)]
-    return stats.join(scores, "row", "left").select("row_id", "state", *named, "outlier_score")
+    return stats.join(scores, "row", "left").select("row_id", "state", *named, "outlier_score", "full_tail")
 
 
-def not_prose(docs: DataFrame, common_words: DataFrame, least_score: float = 10.0, most_odd: float = 0.4, **columns) -> DataFrame:
-    """row_id and outlier_score of the texts that stand out by their ranks and of whose cues more than most_odd are odd.
+def not_prose(docs: DataFrame, common_words: DataFrame, least_score: float = 0.0, most_odd: float = MOST_ODD, least_tails: float = 2.0, **columns) -> DataFrame:
+    """row_id and outlier_score of the texts that stand out from the prose of their language and of whose cues more than most_odd are odd.
 
-    The score selects the candidates, the share of odd cues (empty, or at least
-    half of whose lines have the form of a list, a table or junk) decides. The
-    bound lies below a half, as cues of a list that read like speech count as
-    speech; no measured prose comes near it.
+    Odd cues are empty, or have the form of a list, a table or junk in at least
+    half of their lines. A text with more of them than any prose has one full
+    tail for that; to be found, its score must reach least_tails of them, so that
+    a few odd cues of a short text of speech don't decide alone. The bound goes
+    with the number of texts ranked among, and a text's score depends on the
+    prose only, not on how many texts are like it. Where a language has no prose,
+    the odd cues decide. least_score is a further bound in nats.
     """
-    scored = scored_statistics(docs, common_words, **columns)
-    return scored.where((F.col("state") == 2) & (F.col("outlier_score") >= least_score) & (F.col("odd_cues") > most_odd)).select("row_id", "outlier_score")
+    scored = scored_statistics(docs, common_words, most_odd, **columns)
+    far = (F.col("outlier_score") >= least_score) & (F.col("outlier_score") >= least_tails * F.col("full_tail"))
+    return scored.where((F.col("state") == 2) & far & (F.col("odd_cues") > most_odd)).select("row_id", "outlier_score")

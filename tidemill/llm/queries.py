@@ -97,7 +97,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics and the outlier score of every document."""
     scored = quality.scored_statistics(_table(spark, folder, "documents"), _table(spark, folder, "common_words"))
-    return scored.withColumnRenamed("row_id", "doc_id").drop("state")
+    return scored.withColumnRenamed("row_id", "doc_id").drop("state", "full_tail")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
