@@ -128,6 +128,16 @@ def test_not_prose_however_frequent(spark, odd):
     assert {r.row_id for r in Q.not_prose(make(spark, rows), words).collect()} == set(range(80, 120))
 
 
+def test_small_languages_are_ranked_alone(spark):
+    rnd = random.Random(9)
+    vocab = ["the", "a", "cat", "dog", "sea", "and", "is", "it", "grey", "old"]
+    text = lambda n: cues(*(" ".join(rnd.choice(vocab) for _ in range(n)) + rnd.choice([".", ""]) for _ in range(5)))
+    rows = [(i, text(4), "en") for i in range(20)] + [(i, text(9), "de") for i in range(20, 50)] + [(i, text(6), None) for i in range(50, 60)]
+    words = spark.createDataFrame([(k, w, 1) for k in ("en", "de") for w in ("the", "a", "and", "is", "it")], "lang string, word string, word_rank int")
+    scores = lambda rows: {r.row_id: round(r.outlier_score, 9) for r in Q.scored_statistics(make(spark, rows), words).collect()}
+    assert scores(rows) == scores(rows[:20]) | scores(rows[20:50]) | scores(rows[50:])
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_labelled_documents(spark):
     """Accuracy on labels that play no part in finding."""

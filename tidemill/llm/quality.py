@@ -244,8 +244,8 @@ TAILS = {
     "symbol_ratio": "right", "digit_ratio": "right", "end_punct_share": "left", "common_any": "left", "cue_common": "left", "type_ratio": "left", "mean_word_len": "both",
     "accent_share": "right", "vowelless_share": "right", "words_a_line": "left", "empty_cues": "right", "odd_cues": "right", "max_word_share": "right",
 }
-#: Languages with fewer documents than this are ranked together, as a handful of documents has no tails.
-LEAST_GROUP = 500
+#: Languages with fewer documents than this are ranked together: none, each is ranked by itself at every size.
+LEAST_GROUP = 1
 #: Most rows a table of common words may have, as it is sent to every task.
 MOST_COMMON_WORDS = 200_000
 BLOCK_BYTES = 4 << 20
