@@ -66,6 +66,16 @@ def test_neighbours(spark, chunk, strict):
     assert got == sorted(want, key=lambda x: x[:3]) or sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_neighbours_of_null_ids(spark, strict):
+    rnd = random.Random(11)
+    ids = [("a", None), (None, None), ("a", "x"), (None, "x")]
+    rows = lambda n: [(*k, rnd.randrange(60), i) for i in range(n) for k in ids]
+    a, b = spark.createDataFrame([*rows(15), ("l", None, 3, 1)], "k string, q string, t bigint, i int"), spark.createDataFrame(rows(8), "k string, q string, t bigint, v int")
+    whole, pieces = (sorted(map(repr, tsjoin.neighbours(a, b, ["k", "q"], "t", ["v"], strict, chunk).collect())) for chunk in (None, 5))
+    assert len(whole) == 61 and pieces == whole
+
+
 def test_series_without_ids(spark):
     s = Series.of(spark.createDataFrame([(3,), (1,), (2,)], "t int"), ["t"])
     assert [(r.t, r.pos) for r in s.df.orderBy("t").collect()] == [(1, 0), (2, 1), (3, 2)]

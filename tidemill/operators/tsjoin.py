@@ -43,7 +43,9 @@ def neighbours(left: DataFrame, right: DataFrame, ids: list[str], t: str, payloa
         order = Window.partitionBy(*ids).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
         back = Window.partitionBy(*ids).orderBy(F.col("_c").desc()).rowsBetween(Window.unboundedPreceding, -1)
         carried = cells.select(*ids, "_c", F.last("_last", ignorenulls=True).over(order).alias("_before"), F.last("_first", ignorenulls=True).over(back).alias("_after"))
-        a = a.join(carried, [*ids, "_c"])
+        # as right rows of the stretch, so that null ids are a stretch like any other
+        carried = carried.select(*ids, "_c", F.explode(F.array("_before", "_after")).alias("_r")).where("_r is not null")
+        b = b.unionByName(carried.select(*ids, F.col("_r.t").alias("_t"), "_r", "_c"))
         part.append("_c")
     both = a.unionByName(b, allowMissingColumns=True)
     w = Window.partitionBy(*part)
@@ -51,8 +53,6 @@ def neighbours(left: DataFrame, right: DataFrame, ids: list[str], t: str, payloa
     upto = w.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
     onward = w.orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
     both = both.withColumn("prev", F.max("_r").over(upto)).withColumn("next", F.min("_r").over(onward)).where("_own is not null")
-    if chunk:
-        both = both.withColumn("prev", F.coalesce("prev", "_before")).withColumn("next", F.coalesce("next", "_after"))
     return both.select(*ids, F.col("_t").alias(t), *[F.col(f"_own.{c}").alias(c) for c in keep], "prev", "next")
 
 
