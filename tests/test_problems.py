@@ -73,6 +73,23 @@ def test_regular_grid(spark, chunk, with_calendar):
     assert got == want
 
 
+@pytest.mark.parametrize("chunk", [None, 4_000_000])
+@pytest.mark.parametrize("step", [1, 1_000_000])
+def test_grid_at_times_of_a_calendar(spark, chunk, step):
+    at = lambda us: datetime.datetime(2010, 1, 1) + datetime.timedelta(microseconds=us)
+    readings = [("a", at(0), 0.0), ("a", at(10_000_000), 10.0), ("b", at(3_700_000), 1.0), ("b", at(86_400_000_000 * 20), 2.0)]
+    calendar = [at(us) for us in (-5, 1_000_000, 3_700_000, 3_700_001, 3_700_001, 9_999_999, 86_400_000_000 * 9 + 7, 86_400_000_000 * 20)]
+    df, cal = spark.createDataFrame(readings, "s string, at timestamp_ntz, v double"), spark.createDataFrame([(t,) for t in calendar], "c timestamp_ntz")
+    base = int((at(0) - datetime.datetime(1970, 1, 1)).total_seconds()) * 10**6
+    # chunks of 4 s only for the short series
+    df = df.where("s = 'a'") if chunk else df
+    got = sorted((r.s, r.t - base, r.status) for r in regular_grid(df, "s", "at", "v", step=step, calendar=cal, calendar_time="c", chunk=chunk).collect())
+    want = [("a", t, "filled") for t in (1_000_000, 3_700_000, 3_700_001, 9_999_999)]
+    if not chunk:
+        want += [("b", 3_700_000, "reading"), *(("b", t, "filled") for t in (3_700_001, 9_999_999, 86_400_000_000 * 9 + 7)), ("b", 86_400_000_000 * 20, "reading")]
+    assert got == want
+
+
 def test_grid_of_dates_and_nothing(spark):
     df = spark.createDataFrame([("a", day(0), 1.0), ("a", day(3), 4.0)], "s string, d date, v double")
     out = [(r.t - 14610, r.filled) for r in regular_grid(df, "s", "d", "v").orderBy("t").collect()]

@@ -23,7 +23,7 @@ def regular_grid(
     'missing'.
 
     The grid has a point every ``step``, aligned to multiples of it, or, with a
-    calendar, at its distinct times. A reading is a row with source and time whose
+    calendar, at its distinct times, whatever the step. A reading is a row with source and time whose
     value is neither null nor not-a-number; of several at one time the greatest
     value counts. A source without readings has no grid; infinite neighbours give
     no interpolation, so the point is missing.
@@ -43,14 +43,16 @@ def regular_grid(
     order = Window.partitionBy("source").orderBy("chunk")
     ends = ends.withColumn("after", F.lead("first").over(order))
     until = F.when(F.col("after").isNull(), F.col("last_t")).otherwise(F.col("after.t") - 1)
-    start = F.ceil(F.col("first.t") / step).cast("long") * step
-    span = ends.withColumn("start", start).withColumn("until", until).where("start <= until")
+    span = ends.withColumn("until", until)
     if calendar is None:
+        span = span.withColumn("start", F.ceil(F.col("first.t") / step).cast("long") * step).where("start <= until")
         points = span.select("source", "chunk", "after", F.explode(F.sequence("start", "until", F.lit(step).cast("long"))).alias("t"))
     else:
-        days = calendar.select(axis(calendar, calendar_time).alias("t")).where("t is not null").distinct()
-        daily = 1 if isinstance(calendar.schema[calendar_time].dataType, T.DateType) else step
-        points = span.select("source", "chunk", "after", F.explode(F.sequence(F.ceil(F.col("first.t") / daily).cast("long") * daily, "until", F.lit(daily).cast("long"))).alias("t")).join(days, "t")
+        # a calendar time meets the chunks whose spans reach into its cell of the time axis
+        cell = lambda t: F.floor(t / size).cast("long")
+        times = calendar.select(axis(calendar, calendar_time).alias("t")).where("t is not null").distinct().withColumn("cell", cell(F.col("t")))
+        reached = span.withColumn("cell", F.explode(F.sequence(cell(F.col("first.t")), cell(F.col("until")))))
+        points = reached.join(times, "cell").where("t between first.t and until").select("source", "chunk", "after", "t")
     pair = "struct<t:bigint,v:double>"
     grid = points.select("source", "chunk", "t", F.lit(None).cast(pair).alias("r"), F.lit(None).cast(pair).alias("ahead"), F.col("after").cast(pair).alias("after"), F.lit(True).alias("on_grid"))
     own = rows.select("source", "chunk", "t", "r", "ahead", F.lit(None).cast(pair).alias("after"), F.lit(False).alias("on_grid"))
