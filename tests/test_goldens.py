@@ -4,6 +4,8 @@ import datetime
 import math
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +256,14 @@ def test_store(quotes):
         s.append(late).series.df.collect()
     with pytest.raises(Exception, match="null in symbol"):
         Store.load(quotes.withColumn("symbol", F.lit(None).cast("string")), "day", ["symbol"]).series.df.collect()
+
+
+def test_stream_windows_hold_the_last_day(spark, tmp_path):
+    from tidemill.plans import reference
+
+    at = lambda d, h: datetime.datetime(2024, 1, d, h)
+    rows = [("x", at(1, 3), 1.0), ("x", at(3, 23), 2.5), ("y", at(3, 1), 4.0), ("x", at(3, 2), None), ("x", None, 9.0), ("x", at(1, 5), 2.0)]
+    columns = zip(("event_type", "ts", "value"), (pa.string(), pa.timestamp("us"), pa.float64()), zip(*rows))
+    pq.write_table(pa.table({name: pa.array(values, kind) for name, kind, values in columns}), f"{tmp_path}/events.parquet")
+    out = sorted((r.event_type, r.start.day, r.n, r.total) for r in reference.queries()["stream_windows"](spark, str(tmp_path)).collect())
+    assert out == [("x", 1, 2, 3.0), ("x", 3, 2, 2.5), ("y", 3, 1, 4.0)]

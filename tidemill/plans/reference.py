@@ -881,15 +881,15 @@ def _(spark, folder):
     return spark.read.parquet(out).where("not late").select(F.col("key").alias("user_id"), "pos", F.round("running", 4).alias("running"), r6("ema").alias("ema"))
 
 
-@query("stream_windows")
+@query("stream_windows", "select event_type, date_trunc('day', ts) as start, count(*) as n, round(sum(value), 4) as total from events where ts is not null group by all")
 def _(spark, folder):
-    from ..streaming.append import into_table, windowed_totals
+    from ..streaming.append import whole_table, windowed_totals
 
     schema = _table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     out, marks = new_folder(spark, "stream"), new_folder(spark, "stream-marks")
     totals = windowed_totals(stream.withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts", "value", "1 day", "1 hour")
-    into_table(totals, out, marks)
+    whole_table(totals, out, marks)
     return spark.read.schema("event_type string, start timestamp, n long, total double").parquet(out).withColumn("total", F.round("total", 4))
 
 

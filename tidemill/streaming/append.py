@@ -47,7 +47,11 @@ def running_state(stream: DataFrame, key: str, ts: str, value: str, n: int) -> D
 
 
 def windowed_totals(stream: DataFrame, key: str, ts: str, value: str, length: str, delay: str) -> DataFrame:
-    """Counts and sums per key and time window; windows close once the watermark has passed them."""
+    """Counts and sums per key and time window.
+
+    Appended, a window comes out once the watermark has passed it, so the last ones
+    of a finite input never do; ``whole_table`` has them all.
+    """
     marked = stream.withWatermark(ts, delay)
     return marked.groupBy(F.window(ts, length), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(key, F.col("window.start").alias("start"), "n", "total")
 
@@ -56,3 +60,11 @@ def into_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     """All data present now, appended to a parquet table, each batch once."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def whole_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """The result of an aggregation over all data present now, windows still open among it, as a parquet table that each batch replaces."""
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(path)  # an empty input has no batch
+    replace = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    query = stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
