@@ -267,3 +267,13 @@ def test_stream_windows_hold_the_last_day(spark, tmp_path):
     pq.write_table(pa.table({name: pa.array(values, kind) for name, kind, values in columns}), f"{tmp_path}/events.parquet")
     out = sorted((r.event_type, r.start.day, r.n, r.total) for r in reference.queries()["stream_windows"](spark, str(tmp_path)).collect())
     assert out == [("x", 1, 2, 3.0), ("x", 3, 2, 2.5), ("y", 3, 1, 4.0)]
+
+
+def test_saved_store_comes_back_whole(spark, tmp_path):
+    from tidemill.plans import reference
+
+    rows = [(u, datetime.datetime(2024, 1, 1 + k), 1.0, 10 * u + k) for u in (3, 8, 9) for k in (2, 0, 1)]
+    columns = zip(("user_id", "ts", "value", "event_id"), (pa.int64(), pa.timestamp("us"), pa.float64(), pa.int64()), zip(*rows))
+    pq.write_table(pa.table({name: pa.array(values, kind) for name, kind, values in columns}), f"{tmp_path}/events.parquet")
+    out = sorted((r.user_id, r.pos, r.event_id) for r in reference.queries()["store_save_all"](spark, str(tmp_path)).collect())
+    assert out == [(u, k, 10 * u + k) for u in (3, 8, 9) for k in range(3)]

@@ -852,6 +852,13 @@ def _(spark, folder):
     return Store.read(spark, path, "ts", ["user_id"]).get(8).series.keep("event_id")
 
 
+@query("store_save_all", f"{E} select user_id, pos, event_id from e")
+def _(spark, folder):
+    path = new_folder(spark, "store")
+    _store(spark, folder).save(path)
+    return Store.read(spark, path, "ts", ["user_id"]).series.keep("event_id")
+
+
 @query("csv_round_trip", "select l_orderkey, l_linenumber, l_extendedprice from lineitem")
 def _(spark, folder):
     from ..sources.store import read_csv
