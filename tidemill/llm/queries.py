@@ -89,15 +89,18 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
+def _labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return _table(spark, folder, "documents"), _table(spark, folder, "common_words"), _table(spark, folder, "doc_labels")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that aren't prose."""
-    return quality.not_prose(_table(spark, folder, "documents"), _table(spark, folder, "common_words")).select(F.col("row_id").alias("doc_id"))
+    return quality.not_prose(*_labelled(spark, folder)).select(F.col("row_id").alias("doc_id"))
 
 
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics and the outlier score of every document."""
-    scored = quality.scored_statistics(_table(spark, folder, "documents"), _table(spark, folder, "common_words"))
-    return scored.withColumnRenamed("row_id", "doc_id").drop("state", "full_tail")
+    return quality.scored_statistics(*_labelled(spark, folder)).withColumnRenamed("row_id", "doc_id").drop("state")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

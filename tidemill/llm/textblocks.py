@@ -35,6 +35,31 @@ def class_table() -> np.ndarray:
     return table
 
 
+#: Code points below this one hold all letters that have an upper and a lower case.
+CASED = 0x1F000
+VOWELS = frozenset("aeiouyаеёиоуыэюяієї")
+
+
+@cache
+def lower_table() -> np.ndarray:
+    """Lower case of every code point; one whose lower case is several stays."""
+    table = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    for c in range(CASED):
+        low = chr(c).lower()
+        if len(low) == 1:
+            table[c] = ord(low)
+    return table
+
+
+@cache
+def vowel_table() -> np.ndarray:
+    """Whether a code point is a vowel, with or without an accent."""
+    table = np.zeros(sys.maxunicode + 1, bool)
+    for c in range(0x2000):
+        table[c] = unicodedata.normalize("NFD", chr(c).lower())[0] in VOWELS
+    return table
+
+
 class Block(NamedTuple):
     """Texts as code points. Document k holds the characters doc_start[k] to doc_start[k + 1]."""
 
