@@ -23,7 +23,7 @@ def test_repetitions(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.choice(["Big ", "big"]), rnd.randrange(50, 150)) for i in range(4000)] + [(i, " small", rnd.randrange(50, 150)) for i in range(4000, 4100)]
     rows += [(9001, None, 50), (9002, "unknown", 50), (9003, "big", None), (9004, "big", 0), (None, "big", 70)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").withColumn("copies", F.lit(5)).withColumn("bin", F.lit(5))
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").withColumn("copies", F.lit(5)).withColumn("h", F.lit(5))
     targets = spark.createDataFrame([("big", 0.7, 1), ("SMALL", 0.3, 4), ("absent", 0.0, 3), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
     docs, report = repetitions(df, targets)
     got = docs.collect()
@@ -42,6 +42,25 @@ def test_repetitions(spark):
     assert other.mixed_size == pytest.approx(sizes["big"] / 3, rel=0.02)
 
 
+def test_small_fractions(spark):
+    """A tiny fraction of a large source is met to half a document, whatever its size."""
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("web").alias("source"), (100 + F.col("id") % 50).alias("n_tokens"))
+    targets = spark.createDataFrame([("web", 1e-4, 1), ("other", 0.9999, 1)], "source string, target_share double, max_repeats int")
+    for extra in (0, 3):
+        more = spark.createDataFrame([(10**6 + k, "other", 10**6) for k in range(extra)], "doc_id long, source string, n_tokens long")
+        out, report = repetitions(docs.unionByName(more), targets, total=1e6)
+        web = report.where("source = 'web'").first()
+        wanted = 1e6 if not extra else 100.0
+        assert abs(web.mixed_size - wanted) <= 75 and web.mixed_size == out.where("source = 'web'").agg(F.sum("n_tokens")).first()[0]
+
+
+def test_repeated_ids_share_their_fate(spark):
+    df = spark.createDataFrame([(k // 10, "a", 10) for k in range(100)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    got = repetitions(df, targets, total=480.0)[0].groupBy("doc_id").count().collect()
+    assert len(got) == 5 and {r["count"] for r in got} == {10}
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")

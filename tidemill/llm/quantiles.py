@@ -1,16 +1,17 @@
 """Percentiles of very large columns from dyadic Count-sketches.
 
-A value becomes an ordered whole number of BITS bits (the upper bits of its
-double: values keep a relative precision of 2 ** -20). For every binary
-resolution a sketch holds signed counts of the intervals at that resolution;
-coarse resolutions have few intervals and are counted exactly. Sketches add up,
-and rows with negative weight take earlier ones out again. A percentile is found
-by walking down from the interval that holds everything, going left or right by
-the estimated count of the left half.
-
-A group of few different values keeps them with their counts instead of
-sketches and is exact; it becomes sketches where it grows, in whatever part or
-merge that happens.
+A value becomes an ordered whole number of BITS bits, the bits of its double, so
+values lose nothing. For every binary resolution a sketch holds signed counts of
+the intervals at that resolution; resolutions with fewer intervals than a sketch
+has cells are counted exactly. Sketches add up, and rows with negative weight
+take earlier ones out again. A percentile is found by walking down from the
+interval that holds everything, going left or right by the estimated count of
+the left half.
+
+A sketch is a linear function of its values and their counts. Up to BUFFER
+different values that were not yet added to the cells are kept as they are, in
+memory and in the stored rows; when a percentile is read they are added, so the
+result is that of the cells whatever BUFFER is.
 """
 
 from __future__ import annotations
@@ -23,32 +24,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BITS = 32
+BITS = 64
 DEPTH = 5
 WIDTH = 2048
-#: Most different values that are kept as they are.
-FEW = 4096
+#: Different values that wait until they are added to the cells at once.
+BUFFER = 1 << 15
 #: Sketches that one task holds at a time; beyond, it passes on what it has and starts anew.
-HELD = 64
+HELD = 32
 #: Standard deviation of the median of five, in those of one.
 MEDIAN_OF_FIVE = 0.5355
-EXACT = -1  # the level under which values with their counts are stored
+#: Numbers of largest cells that may be taken as heavy values when the error is estimated.
+HEAVY_CELLS = [0, 1, 2, 4, 8, 16, 32, 64]
+WAITING = -1  # the level under which values that wait are stored, with their counts
 
 
 def encode(x: np.ndarray) -> np.ndarray:
-    """Order-preserving codes of doubles that aren't NaN."""
+    """Order-preserving codes (unsigned) of doubles that aren't NaN."""
     bits = (x + 0.0).view(np.int64)  # -0.0 becomes 0.0
-    ordered = np.where(bits < 0, ~bits, bits | np.int64(-(2**63))).view(np.uint64)
-    return (ordered >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.where(bits < 0, ~bits, bits | np.int64(-(2**63))).view(np.uint64)
 
 
 def decode(codes: np.ndarray) -> np.ndarray:
-    """The value nearest to zero of each code's interval."""
-    full = codes.astype(np.uint64) << np.uint64(64 - BITS)
-    negative = (full >> np.uint64(63)) == 0
-    full = np.where(negative, full | np.uint64((1 << (64 - BITS)) - 1), full)
-    bits = np.where(negative, ~full, full & np.uint64(2**63 - 1))
-    return bits.view(np.float64)
+    """The values of codes."""
+    codes = codes.astype(np.uint64)
+    return np.where((codes >> np.uint64(63)) == 0, ~codes, codes & np.uint64(2**63 - 1)).view(np.float64)
 
 
 def sketched(level: int) -> bool:
@@ -56,40 +55,52 @@ def sketched(level: int) -> bool:
     return (1 << (BITS - level)) > DEPTH * WIDTH
 
 
-def _hash(nodes: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell and sign of each node: a fixed mixing function seeded by level and row."""
+def _mixed(nodes: np.ndarray, level: int) -> np.ndarray:
+    """64 bits for each node, of which every row takes its own: a public mixing function (fixed values) seeded by the level."""
     with np.errstate(over="ignore"):
-        z = nodes.astype(np.uint64) + np.uint64(((level * DEPTH + row + 1) * 0x9E3779B97F4A7C15) % 2**64)
+        z = nodes + np.uint64(((level + 1) * 0x9E3779B97F4A7C15) % 2**64)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    return (z & np.uint64(WIDTH - 1)).astype(np.int64), np.where(z >> np.uint64(63), 1, -1)
+        return z ^ (z >> np.uint64(31))
+
+
+def _place(mixed: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and sign in a row."""
+    own = (mixed >> np.uint64(12 * row)).astype(np.int64)
+    return own & (WIDTH - 1), 1 - ((own >> 10) & 2)
 
 
 def _size(level: int) -> int:
     return DEPTH * WIDTH if sketched(level) else 1 << (BITS - level)
 
 
+def _nodes(codes: np.ndarray, level: int) -> np.ndarray:
+    return codes >> np.uint64(level) if level < 64 else np.zeros(len(codes), np.uint64)
+
+
 def level_cells(codes: np.ndarray, counts: np.ndarray, level: int) -> np.ndarray:
-    nodes = codes >> level
+    """The cells of one level from codes in order and their counts."""
+    nodes = _nodes(codes, level)
     if not sketched(level):
-        return np.bincount(nodes, weights=counts, minlength=_size(level)).astype(np.int64)
+        return np.bincount(nodes.astype(np.int64), weights=counts, minlength=_size(level)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1])))
-    nodes, sums = nodes[starts], np.add.reduceat(counts, starts)
+    mixed, sums = _mixed(nodes[starts], level), np.add.reduceat(counts, starts)
     out = np.empty(DEPTH * WIDTH, np.int64)
     for row in range(DEPTH):
-        cell, sign = _hash(nodes, level, row)
+        cell, sign = _place(mixed, row)
         out[row * WIDTH : (row + 1) * WIDTH] = np.bincount(cell, weights=sign * sums, minlength=WIDTH)
     return out
 
 
 def _combine(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different codes in order with the sums of their counts."""
+    """Different codes in order with the sums of their counts, but those of sum 0."""
+    if not len(codes):
+        return codes, counts
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
-    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(counts, starts) if len(starts) else np.zeros(0, np.int64)
-    return codes[starts], sums
+    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    sums = np.add.reduceat(counts, starts)
+    return codes[starts][sums != 0], sums[sums != 0]
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -101,79 +112,95 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 
 class Sketch:
-    """Values with counts while there are few, one array a level afterwards."""
+    """One array of cells a level, and the values that wait to be added to them."""
 
     def __init__(self) -> None:
-        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.levels: list[np.ndarray] | None = None
+        self.codes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.levels: list[np.ndarray] | None = None  # None: no cell is set
 
     def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        codes, counts = _combine(codes, counts)
-        if self.levels is not None:
-            if len(codes):
-                for level, cells in enumerate(self.levels):
-                    cells += level_cells(codes, counts, level)
-            return
         self.codes, self.counts = _combine(np.concatenate((self.codes, codes)), np.concatenate((self.counts, counts)))
-        if len(self.codes) > FEW:
-            self.levels = [level_cells(self.codes, self.counts, level) for level in range(BITS + 1)]
-            self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.codes) > BUFFER:
+            self.settle()
+
+    def settle(self) -> None:
+        """Add what waits to the cells."""
+        if self.levels is None:
+            self.levels = [np.zeros(_size(level), np.int64) for level in range(BITS + 1)]
+        if len(self.codes):
+            for level, cells in enumerate(self.levels):
+                cells += level_cells(self.codes, self.counts, level)
+            self.codes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def rows(self) -> Iterator[tuple[int, int, bytes]]:
         """(level, size, data) rows."""
+        if len(self.codes) or self.levels is None:
+            yield WAITING, 2 * len(self.codes), _pack(np.concatenate((self.codes.view(np.int64), self.counts)))
+        for level, cells in enumerate(self.levels or []):
+            yield level, len(cells), _pack(cells)
+
+    def fold(self, level: int, size: int, data: bytes) -> None:
+        """Add one stored row."""
+        cells = _unpack(data, size)
+        if level == WAITING:
+            self.add(cells[: size // 2].view(np.uint64), cells[size // 2 :])
+            return
         if self.levels is None:
-            yield EXACT, 2 * len(self.codes), _pack(np.concatenate((self.codes, self.counts)))
-        else:
-            for level, cells in enumerate(self.levels):
-                yield level, len(cells), _pack(cells)
+            self.levels = [np.zeros(_size(k), np.int64) for k in range(BITS + 1)]
+        self.levels[level] += cells
 
     @property
     def total(self) -> int:
-        return int(self.counts.sum() if self.levels is None else self.levels[BITS][0])
+        return int(self.counts.sum()) + (0 if self.levels is None else int(self.levels[BITS][0]))
 
-    def node(self, level: int, node: int) -> float:
+    def count(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """Estimated counts of intervals of one level."""
         cells = self.levels[level]
         if not sketched(level):
-            return float(cells[node])
-        found = []
+            return cells[nodes.astype(np.int64)].astype(float)
+        mixed, found = _mixed(nodes, level), np.empty((DEPTH, len(nodes)))
         for row in range(DEPTH):
-            cell, sign = _hash(np.array([node]), level, row)
-            found.append(sign[0] * cells[row * WIDTH + cell[0]])
-        return float(np.median(found))
+            cell, sign = _place(mixed, row)
+            found[row] = sign * cells[row * WIDTH + cell]
+        return np.median(found, axis=0)
 
     def rank_error(self) -> float:
-        """Standard error of a rank as a share of all rows; 0 while values are kept.
+        """Standard error of a rank as a share of all rows.
 
-        A level's error is that of a median of DEPTH cells. A few heavy values
-        spoil few cells and no median, so the largest fiftieth of a row's cells is
-        left out of their spread.
+        The errors of the levels add up as variances. An estimate is the median of
+        DEPTH rows, each off by what else fell into its cell. If k values are taken
+        as heavy, the rest gives the variance of such a median, and the heavy ones
+        spoil it where three rows meet one of them, whose probability is about
+        10 (k / WIDTH) ** 3. Any k gives a valid estimate; the least is taken.
         """
-        if self.levels is None or self.total <= 0:
+        self.settle()
+        if self.total <= 0:
             return 0.0
         variance = 0.0
         for level, cells in enumerate(self.levels):
             if sketched(level):
-                squares = np.sort(np.abs(cells.reshape(DEPTH, WIDTH)), axis=1)[:, : int(WIDTH * 0.98)].astype(float) ** 2
-                variance += float(np.median(squares.mean(axis=1))) / 0.88 * MEDIAN_OF_FIVE**2
+                squares = -np.sort(-(cells.reshape(DEPTH, WIDTH).astype(float) ** 2), axis=1)
+                sums = np.concatenate((np.zeros((DEPTH, 1)), np.cumsum(squares, axis=1)), axis=1)
+                variance += min(
+                    float(np.median(sums[:, -1] - sums[:, k])) / (WIDTH - k) * MEDIAN_OF_FIVE**2 + 10 * (k / WIDTH) ** 3 * float(np.median(sums[:, k])) / max(k, 1) for k in HEAVY_CELLS
+                )
         return variance**0.5 / self.total
 
-    def quantile(self, p: float) -> float:
-        """Value of rank ceil(p * n), at least 1; NaN if nothing is left."""
+    def quantiles(self, probabilities: list[float]) -> np.ndarray:
+        """Values of rank ceil(p * n), at least 1; NaN if nothing is left."""
         n = self.total
         if n <= 0:
-            return float("nan")
-        rank = max(1, int(np.ceil(p * n)))
-        if self.levels is None:
-            at = min(int(np.searchsorted(np.cumsum(self.counts), rank)), len(self.codes) - 1)
-            return float(decode(self.codes[at : at + 1])[0])
-        node, inside, left = 0, float(n), float(rank)
+            return np.full(len(probabilities), np.nan)
+        self.settle()
+        left = np.maximum(1.0, np.ceil(np.asarray(probabilities, float) * n))
+        nodes, inside = np.zeros(len(left), np.uint64), np.full(len(left), float(n))
         for level in range(BITS - 1, -1, -1):
-            first = min(max(self.node(level, 2 * node), 0.0), inside)
-            if left <= first:
-                node, inside = 2 * node, first
-            else:
-                node, inside, left = 2 * node + 1, inside - first, left - first
-        return float(decode(np.array([node]))[0])
+            nodes = nodes << np.uint64(1)
+            first = np.clip(self.count(level, nodes), 0.0, inside)
+            right = left > first
+            nodes = nodes + right.astype(np.uint64)
+            inside, left = np.where(right, inside - first, first), np.where(right, left - first, left)
+        return decode(nodes)
 
 
 SCHEMA = "group_id string, column string, part int, level int, size int, data binary"
@@ -227,24 +254,11 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if at is not None:
                     yield from _rows({at[:2]: s}, at[2])
                 at, s = (group, column, part), Sketch()
-            _fold(s, level, size, data)
+            s.fold(level, size, data)
     if at is not None:
         yield from _rows({at[:2]: s}, at[2])
 
 
-def _fold(s: Sketch, level: int, size: int, data: bytes) -> None:
-    """Add one stored row to a sketch."""
-    cells = _unpack(data, size)
-    if level == EXACT:
-        s.add(cells[: size // 2], cells[size // 2 :])
-        return
-    if s.levels is None:
-        few = s.codes, s.counts
-        s.codes, s.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        s.levels = [level_cells(*few, k) if len(few[0]) else np.zeros(_size(k), np.int64) for k in range(BITS + 1)]
-    s.levels[level] += cells
-
-
 def sketch(df: DataFrame, groups: list[str], columns: list[str], weight: int = 1) -> DataFrame:
     """Partial sketches of each group and column, one per task that met it.
 
@@ -271,7 +285,7 @@ def _read(batches: Iterator[pa.RecordBatch], probabilities: list[float], sigmas:
     def give(at: tuple[str, str], s: Sketch) -> pa.RecordBatch:
         n = len(probabilities)
         return pa.RecordBatch.from_arrays(
-            [pa.array([at[0]] * n), pa.array([at[1]] * n), pa.array(probabilities, pa.float64()), pa.array([s.quantile(p) for p in probabilities], pa.float64()), pa.array([s.total] * n, pa.int64()), pa.array([sigmas * s.rank_error()] * n, pa.float64())],
+            [pa.array([at[0]] * n), pa.array([at[1]] * n), pa.array(probabilities, pa.float64()), pa.array(s.quantiles(probabilities), pa.float64()), pa.array([s.total] * n, pa.int64()), pa.array([sigmas * s.rank_error()] * n, pa.float64())],
             ["group_id", "column", "p", "value", "n", "rank_error"],
         )
 
@@ -282,7 +296,7 @@ def _read(batches: Iterator[pa.RecordBatch], probabilities: list[float], sigmas:
                 if at is not None:
                     yield give(at, s)
                 at, s = (group, column), Sketch()
-            _fold(s, level, size, data)
+            s.fold(level, size, data)
     if at is not None:
         yield give(at, s)
 
@@ -291,8 +305,8 @@ def quantiles(sketches: DataFrame, groups: dict[str, T.DataType], probabilities:
     """(groups, column, p, value, n, rank_error) of merged or partial sketches.
 
     value has a rank between (p - rank_error) n and (p + rank_error) n, with the
-    confidence of ``sigmas`` standard errors, and is given to a relative precision
-    of 2 ** -20. rank_error is 0 where all different values are kept.
+    confidence of ``sigmas`` standard errors. Groups of nothing (every row taken
+    out again) have the value NaN and the error 0.
     """
     ready = merge(sketches).repartition("group_id", "column").sortWithinPartitions("group_id", "column")
     found = ready.mapInArrow(lambda it: _read(it, probabilities, sigmas), "group_id string, column string, p double, value double, n long, rank_error double")
