@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators.gridfill import regular_grid
-from tidemill.operators.implausible import additive_outliers, implausible, stuck_runs
+from tidemill.operators.implausible import additive_outliers, autoregression, implausible, stuck_runs, typical_change
 from tidemill.operators.readings import latest_rows, quote_readings
 from tidemill.operators.rolling import advance, correct, current, daily_amounts, history
 from tidemill.operators.sessions import sessions
@@ -194,7 +194,27 @@ def test_stuck_runs():
     assert not stuck_runs(np.concatenate((often, np.full(6, 99.0))), 5, 0.05).any()
 
 
-@pytest.mark.parametrize("chunk", [None, 120])
+def test_level_shifts_and_the_autoregression():
+    rnd = np.random.default_rng(2)
+    d = np.zeros(400)
+    for k in range(1, 400):  # changes that turn back: the coefficient is far from 0
+        d[k] = -0.6 * d[k - 1] + rnd.normal(0, 0.01)
+    y = np.cumsum(d) + 3
+    phi, scale, _ = autoregression(y, 1.0)
+    assert -0.7 < phi < -0.4 and scale == typical_change(y)
+    shifted = y.copy()
+    shifted[200:] += 1
+    assert not additive_outliers(shifted, 8.0, 3).any()
+    shifted[100] -= 0.5
+    shifted[199:202] += 0.7  # beside the shift
+    assert additive_outliers(shifted, 8.0, 3).tolist() == outlier_model(shifted, 8.0, 3).tolist() and additive_outliers(shifted, 8.0, 3)[100]
+    # an outlier bends neither coefficient nor scale much
+    bent = y.copy()
+    bent[50] += 5
+    assert abs(autoregression(bent, 1.0)[0] - phi) < 0.05
+
+
+@pytest.mark.parametrize("chunk", [None, 64, 120])
 def test_implausible(spark, chunk):
     rnd = random.Random(5)
     rows = []
@@ -208,12 +228,36 @@ def test_implausible(spark, chunk):
     for i in range(500, 506):
         rows[i][2] = 55.5
     rows[600][2] = None
-    df = spark.createDataFrame([tuple(r) for r in rows] + [(None, 1, 1.0), ("c", 1, 5.0)], "s string, t bigint, v double").withColumn("part", F.lit("x"))
+    df = spark.createDataFrame([tuple(r) for r in rows] + [(None, 1, 1.0), ("c", 1, 5.0)], "s string, t bigint, v double").withColumn("part", F.lit("x")).withColumn("field", F.lit("y"))
     out = implausible(df, "s", "t", ["v"], F.isnan("v") | (F.col("v") <= 0), {"v": True}, chunk=chunk)
     got = sorted((r.s, r.t, r.limits, r.spike, r.stuck) for r in out.collect())
-    assert got == [("a", 50, False, True, False), ("a", 130, True, False, False), *[("b", t, False, False, True) for t in range(100, 106)]] or [g for g in got if not g[4]] == [("a", 50, False, True, False), ("a", 130, True, False, False)]
-    assert [g for g in got if g[4]] == [("b", t, False, g[3], True) for t, g in zip(range(100, 106), [g for g in got if g[4]])]
-    assert implausible(df.where("false"), "s", "t", ["v"], F.lit(False), {"v": True}).count() == 0
+    assert got == [("a", 50, False, True, False), ("a", 130, True, False, False), *[("b", t, False, False, True) for t in range(100, 106)]]
+    assert implausible(df.where("false"), "s", "t", ["v"], F.lit(False), {"v": True}, chunk=chunk).count() == 0
+
+
+def test_implausible_in_pieces_gives_the_same_rows(spark):
+    """Sources with empty stretches, busy times, spikes and runs at the pieces' ends, and one that often repeats a value."""
+    rnd = random.Random(6)
+    rows = []
+    for s, repeats in (("a", 0.0), ("b", 0.02), ("c", 0.3)):
+        t, v, w = 0, 100.0, 50.0
+        for k in range(700):
+            t += 1 if rnd.random() < 0.97 else rnd.randrange(1, 900)  # empty stretches longer than a piece
+            v *= 1 + rnd.uniform(-0.01, 0.01) * (5 if 300 < k < 400 else 1)
+            w = w if rnd.random() < repeats else w + rnd.choice([-1.5, 0.25, 2.0])
+            value = v * rnd.choice([0.2, 4]) if rnd.random() < 0.03 else v
+            rows.append((s, t, value, None if rnd.random() < 0.2 else 0.0 if 590 < k < 600 else 77.0 if k in range(127, 133) or k in range(253, 262) else w))
+    df = spark.createDataFrame(rows, "s string, t bigint, v double, w double")
+    run = lambda chunk: sorted(map(tuple, implausible(df, "s", "t", ["v", "w"], F.col("v") < 25, {"w": False}, chunk=chunk, halo=32).collect()))
+    whole = run(None)
+    assert {bits for r in whole for bits in [r[2:]]} >= {(False, True, False), (False, False, True)} and run(64) == whole and run(100) == whole
+
+
+def test_a_spike_after_an_empty_stretch(spark):
+    rows = [("a", t, 100.0 + t % 3) for t in range(100)] + [("a", 500, 900.0)] + [("a", t, 100.0 + t % 3) for t in range(501, 600)]
+    df = spark.createDataFrame(rows, "s string, t bigint, v double")
+    for chunk in (None, 100):
+        assert [r.t for r in implausible(df, "s", "t", ["v"], F.lit(False), {}, chunk=chunk).collect()] == [500]
 
 
 # skew
