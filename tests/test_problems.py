@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.operators.gridfill import regular_grid
 from tidemill.operators.implausible import additive_outliers, autoregression, implausible, stuck_runs, typical_change
 from tidemill.operators.readings import latest_rows, quote_readings
-from tidemill.operators.rolling import advance, correct, current, daily_amounts, history
+from tidemill.operators.rolling import advance, build, correct, current, daily_amounts, spans
 from tidemill.operators.sessions import sessions
 from tidemill.operators.skew import frequent_values, heavy_keys, salted_aggregate
 
@@ -312,24 +312,37 @@ def test_rolling(spark):
     raw = spark.createDataFrame([(s, day(d - base), v) for s, d, v in rows], "s string, d date, v double").withColumn("entity", F.lit("other"))
     daily = daily_amounts(raw, "s", "d", {"v": F.col("v")})
     want = rolling_model(rows, periods)
-    state = history(daily, periods)
-    assert as_map(state, periods) == want
-    # a day at a time
-    d = base + 30
-    yesterday = state.where(F.col("day_no") == d - 1)
-    alive = {s for s, e in want if e == d - 1} & {s for s, e in want if e == d}
-    step = as_map(advance(yesterday, daily, d, periods), periods)
-    assert {k: v for k, v in step.items() if k[0] in alive} == {k: v for k, v in want.items() if k[1] == d and k[0] in alive}
-    # a correction: one more amount within the days of an entity
+    for length in (10, 17, 366):
+        state = build(daily, periods, length=length)
+        assert as_map(state, periods) == want and {r.version for r in state.collect()} == {1}
+    # a day, and a stretch of days, from the state of the eve
+    known = spans(daily)
+    for length, d, until in ((1, base + 30, base + 30), (20, base - base % 20 + 20, base - base % 20 + 39)):
+        yesterday = state.where(F.col("day_no") == d - 1).drop("version")
+        days = known.select("entity", F.greatest("first_day", F.lit(d)).alias("first_day"), F.least("last_day", F.lit(until)).alias("last_day")).where("first_day <= last_day")
+        step = as_map(advance(yesterday, daily.where(F.col("day_no") > d - 1 - max(periods)), days, periods, length), periods)
+        assert step == {k: v for k, v in want.items() if d <= k[1] <= until}
+    # corrections: more amounts within the days of an entity, and one taken back
     s, e = next((s, e) for s, e in sorted(want) if (s, e + 5) in want)
-    changed = daily_amounts(spark.createDataFrame([(s, day(e - base), 4.0)], "s string, d date, v double"), "s", "d", {"v": F.col("v")})
-    new = correct(state, changed, periods, 2)
-    assert {r.version for r in new.collect()} == {2} and new.count() <= max(periods)
-    assert as_map(current(state.unionByName(new)), periods) == rolling_model([*rows, (s, e, 4.0)], periods)
-    assert history(daily.where("false"), periods).count() == 0
+    more = [(s, e, 4.0), (s, e + 2, -1.5), (s, e + 5, 0.25)]
+    changed = daily_amounts(spark.createDataFrame([(s, day(d - base), v) for s, d, v in more], "s string, d date, v double"), "s", "d", {"v": F.col("v")})
+    new = correct(state, changed, periods, 2, length=13)
+    assert {r.version for r in new.collect()} == {2} and {r.day_no for r in new.collect()} == {d for k, d in want if k == s and e <= d < e + 5 + max(periods)}
+    newest = current(state.unionByName(new))
+    assert as_map(newest, periods) == rolling_model([*rows, *more], periods)
+    back = changed.select("entity", "day_no", (-F.col("v_sum")).cast("decimal(38,6)").alias("v_sum"), (-F.col("v_n")).alias("v_n"))
+    again = current(newest.unionByName(correct(newest, back, periods, 3)))
+    assert as_map(again, periods) == want and {r.version for r in again.collect()} == {1, 3}
+    assert build(daily.where("false"), periods).count() == 0 and correct(state, changed.where("false"), periods, 2).count() == 0
+
+
+def test_rolling_whole_amounts(spark):
+    raw = spark.createDataFrame([("a", day(0), 2**53 + 1), ("a", day(1), None), ("a", day(2), -5)], "s string, d date, v long")
+    state = build(daily_amounts(raw, "s", "d", {"v": F.col("v")}), [2])
+    assert [(r.v_sum_2, r.v_n_2) for r in state.orderBy("day_no").collect()] == [(2**53 + 1, 1), (2**53 + 1, 1), (-5, 1)]
 
 
 def test_rolling_odd_amounts(spark):
     raw = spark.createDataFrame([("a", day(0), float("nan")), ("a", day(1), float("inf")), ("a", day(2), 1e30), ("a", day(3), 2.0)], "s string, d date, v double")
-    state = history(daily_amounts(raw, "s", "d", {"v": F.col("v")}), [3])
+    state = build(daily_amounts(raw, "s", "d", {"v": F.col("v")}), [3])
     assert [(float(r.v_sum_3), r.v_n_3) for r in state.orderBy("day_no").collect()] == [(0, 0), (0, 0), (0, 0), (2.0, 1)]

@@ -2,113 +2,131 @@
 
 The state of a day is the total of each trailing period. It follows from the
 state of the day before by adding the day's arrivals and taking away the amounts
-of the day that leaves the period. ``history`` evaluates that recurrence for all
-days at once: every amount is an arrival on its day and an expiry one period
-later, and the state is the running sum of the two. ``advance`` makes one more
-day from yesterday's state; ``correct`` recomputes the days a late or changed
-amount touches and gives them a new version.
-
-Amounts are decimals, so that adding and taking away leaves no rounding behind.
+of the day that leaves the period. ``advance`` does that for a stretch of days;
+``build`` cuts an entity's days into stretches, finds the state of each eve, and
+advances all stretches side by side, so that no entity is one unit of work.
+``correct`` recomputes the days that a late or changed amount touches and gives
+them a new version; ``current`` reads the newest one.
+
+Whole amounts are long, others decimals, so that adding and taking away leaves no
+rounding behind.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 AMOUNT = "decimal(38,6)"
 #: Larger amounts than this can't be summed exactly and count as absent.
 LARGEST = 1e24
+#: Days that ``build`` takes as one unit of work.
+STRETCH = 366
 
 
-def amount(c: Column) -> Column:
+def amount(c: Column, whole: bool = False) -> Column:
     """A value as an exact amount; null, not-a-number, infinite and beyond LARGEST give null."""
     x = c.cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) <= LARGEST), x.cast(AMOUNT))
+    return c.cast("long") if whole else F.when(~F.isnan(x) & (F.abs(x) <= LARGEST), x.cast(AMOUNT))
 
 
 def daily_amounts(readings: DataFrame, entity: str, day: str, values: dict[str, Column]) -> DataFrame:
-    """(entity, day_no, <name>_sum, <name>_n, ...) per entity and day; day_no is days since 1970-01-01."""
-    picked = readings.select(F.col(entity).alias("entity"), F.col(day).alias("_day"), *[amount(c).alias(n) for n, c in values.items()])
-    sums = [x for n in values for x in (F.coalesce(F.sum(n), F.lit(0)).cast(AMOUNT).alias(f"{n}_sum"), F.count(n).cast("long").alias(f"{n}_n"))]
+    """(entity, day_no, <name>_sum, <name>_n, ...) per entity and day; day_no is days since 1970-01-01. Sums of no value are 0."""
+    kinds = readings.select(*[c.alias(n) for n, c in values.items()]).schema
+    whole = {n: isinstance(kinds[n].dataType, T.IntegralType) for n in values}
+    picked = readings.select(F.col(entity).alias("entity"), F.col(day).alias("_day"), *[amount(c, whole[n]).alias(n) for n, c in values.items()])
+    sums = [x for n in values for x in (F.coalesce(F.sum(n), F.lit(0)).cast("long" if whole[n] else AMOUNT).alias(f"{n}_sum"), F.count(n).cast("long").alias(f"{n}_n"))]
     # grouped by the columns as they come: readings that are already one row per entity and day aren't shuffled again
     daily = picked.where("entity is not null and _day is not null").groupBy("entity", "_day").agg(*sums)
     return daily.select("entity", F.unix_date("_day").cast("long").alias("day_no"), *[f"{n}_{x}" for n in values for x in ("sum", "n")])
 
 
+def spans(daily: DataFrame) -> DataFrame:
+    """(entity, first_day, last_day): the days of each entity, without activity among them."""
+    return daily.groupBy("entity").agg(F.min("day_no").alias("first_day"), F.max("day_no").alias("last_day"))
+
+
 def _measures(daily: DataFrame) -> list[str]:
     return [c for c in daily.columns if c not in ("entity", "day_no")]
 
 
-def _column(measure: str, period: int) -> str:
-    return f"{measure}_{period}"
+def _states(daily: DataFrame, periods: list[int]) -> dict[str, tuple[str, int, T.DataType]]:
+    """State columns: measure, period and type of each."""
+    return {f"{m}_{p}": (m, p, daily.schema[m].dataType) for m in _measures(daily) for p in periods}
+
+
+def _stretch(day: Column, length: int) -> Column:
+    return F.floor(day / length).cast("long")
+
 
+def advance(yesterday: DataFrame, daily: DataFrame, days: DataFrame, periods: list[int], length: int = 1, version: int = 1) -> DataFrame:
+    """States of ``days`` from yesterday's totals, the arrivals and the amounts that expire.
 
-def history(daily: DataFrame, periods: list[int], version: int = 1) -> DataFrame:
-    """State of every entity and day from its first to its last day, days without activity among them.
+    days: (entity, first_day, last_day), each within one stretch of ``length``
+    days (multiples of it; 1: single days). yesterday: the state of the day before
+    first_day, (entity, day_no, <measure>_<period>...); none counts as zeros. daily:
+    amounts, of which those of the days themselves and of a period before are
+    needed. Result: entity, day_no, version and <measure>_<period> for every
+    measure and period.
 
-    Result: entity, day_no, version and <measure>_<period> for every measure and
-    period. One row per entity and day is the input, so an entity's series is as
-    long as its span of days at most.
+    Within a stretch a day's state is the running sum of what came before: the eve's
+    totals, every amount on its day, and every amount taken away one period later.
     """
-    measures = _measures(daily)
-    states = [_column(m, p) for m in measures for p in periods]
-    kind = {_column(m, p): daily.schema[m].dataType for m in measures for p in periods}
-    none = [F.lit(None).cast(kind[s]).alias(s) for s in states]
-    by_day = Window.partitionBy("entity").orderBy("day_no")
-    ahead = daily.withColumn("_next", F.lead("day_no").over(by_day))
-    # every amount arrives on its day and leaves each period one period later; it also brings the days up to the next amount
-    moves = [F.struct(F.col("day_no").alias("day"), F.lit(False).alias("is_day"), *[F.col(m).alias(_column(m, p)) for m in measures for p in periods])]
+    states = _states(daily, periods)
+    row = lambda day, is_day, values: F.struct(day.cast("long").alias("day"), F.lit(is_day).alias("is_day"), *[v.cast(states[s][2]).alias(s) for s, v in values.items()])
+    none = F.lit(None)
+    moves = [row(F.col("day_no"), False, {s: F.col(m) for s, (m, _, _) in states.items()})]
     for p in periods:
-        leave = [(-F.col(m)).cast(daily.schema[m].dataType).alias(_column(m, q)) if p == q else F.lit(None).cast(daily.schema[m].dataType).alias(_column(m, q)) for m in measures for q in periods]
-        moves.append(F.struct((F.col("day_no") + p).alias("day"), F.lit(False).alias("is_day"), *leave))
-    days = F.transform(F.sequence("day_no", F.coalesce(F.col("_next") - 1, F.col("day_no"))), lambda d: F.struct(d.alias("day"), F.lit(True).alias("is_day"), *none))
-    # one shuffle, by entity: the rows above come from it and the running sums stay within it
-    moved = ahead.select("entity", F.inline(F.concat(F.array(*moves), days)))
-    upto = Window.partitionBy("entity").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
-    out = moved.select("entity", "day", "is_day", *[F.sum(s).over(upto).cast(kind[s]).alias(s) for s in states])
-    return out.where("is_day").select("entity", F.col("day").alias("day_no"), F.lit(version).cast("long").alias("version"), *states)
-
-
-def advance(yesterday: DataFrame, daily: DataFrame, day_no: int, periods: list[int], version: int = 1) -> DataFrame:
-    """State of ``day_no``: yesterday's totals joined with today's arrivals and the amounts of the days that expire.
-
-    ``yesterday`` is the state of day_no - 1 (one row per entity), ``daily`` the
-    amounts, of which only day_no and the expiring days are read. Entities with
-    neither a state nor an arrival have none.
+        moves.append(row(F.col("day_no") + p, False, {s: -F.col(m) if q == p else none for s, (m, q, _) in states.items()}))
+    moved = daily.select("entity", F.inline(F.array(*moves))).withColumn("stretch", _stretch(F.col("day"), length))
+    eve = yesterday.select("entity", F.inline(F.array(row(F.col("day_no"), False, {s: F.col(s) for s in states})))).withColumn("stretch", _stretch(F.col("day") + 1, length))
+    every = days.select("entity", _stretch(F.col("first_day"), length).alias("stretch"), F.explode(F.sequence("first_day", "last_day")).alias("d"))
+    grid = every.select("entity", "stretch", F.inline(F.array(row(F.col("d"), True, {s: none for s in states}))))
+    upto = Window.partitionBy("entity", "stretch").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+    both = moved.unionByName(eve).unionByName(grid)
+    run = both.select("entity", "day", "is_day", *[F.coalesce(F.sum(s).over(upto), F.lit(0)).cast(k).alias(s) for s, (_, _, k) in states.items()])
+    return run.where("is_day").select("entity", F.col("day").alias("day_no"), F.lit(version).cast("long").alias("version"), *states)
+
+
+def build(daily: DataFrame, periods: list[int], days: DataFrame | None = None, length: int = STRETCH, version: int = 1) -> DataFrame:
+    """State of every entity and day of ``days`` (``spans`` of daily unless given), days without activity among them.
+
+    The days are advanced in stretches of ``length``, at least the longest period.
+    The totals on the eve of a stretch are those of the amounts of the last days
+    before it, so no stretch waits for another.
     """
-    measures = _measures(daily)
-    states = [_column(m, p) for m in measures for p in periods]
-    wanted = daily.where(F.col("day_no").isin([day_no, *(day_no - p for p in periods)]))
-    changes = [
-        F.sum(F.when(F.col("day_no") == day_no, F.col(m)).when(F.col("day_no") == day_no - p, -F.col(m)).otherwise(F.lit(0))).alias(f"_{_column(m, p)}")
-        for m in measures for p in periods
-    ]
-    # an entity that only expires but has no state any more stays away
-    moved = wanted.groupBy("entity").agg(F.max(F.col("day_no") == day_no).alias("_arrived"), *changes)
-    joined = yesterday.select("entity", F.lit(True).alias("_known"), *states).join(moved, "entity", "full").where("_known or _arrived")
-    kind = {_column(m, p): daily.schema[m].dataType for m in measures for p in periods}
-    new = [(F.coalesce(F.col(s), F.lit(0)) + F.coalesce(F.col(f"_{s}"), F.lit(0))).cast(kind[s]).alias(s) for s in states]
-    return joined.select("entity", F.lit(day_no).cast("long").alias("day_no"), F.lit(version).cast("long").alias("version"), *new)
-
-
-def correct(state: DataFrame, changes: DataFrame, periods: list[int], version: int) -> DataFrame:
+    if length < max(periods):
+        raise ValueError("a stretch must be as long as the longest period")
+    known = spans(daily) if days is None else days
+    start = F.col("stretch") * length
+    parts = known.select("*", F.explode(F.sequence(_stretch(F.col("first_day"), length), _stretch(F.col("last_day"), length))).alias("stretch"))
+    parts = parts.select("entity", F.greatest("first_day", start).alias("first_day"), F.least("last_day", start + length - 1).alias("last_day"))
+    begins = (_stretch(F.col("day_no"), length) + 1) * length
+    left = begins - F.col("day_no")  # 1 on the eve
+    totals = [F.sum(F.when(left <= p, F.col(m))).cast(k).alias(s) for s, (m, p, k) in _states(daily, periods).items()]
+    eves = daily.where(left <= max(periods)).groupBy("entity", (begins - 1).alias("eve")).agg(*totals).withColumnRenamed("eve", "day_no")
+    return advance(eves, daily, parts, periods, length, version)
+
+
+def correct(state: DataFrame, changes: DataFrame, periods: list[int], version: int, length: int = STRETCH) -> DataFrame:
     """New versions of the rows of ``state`` that corrections touch.
 
     ``changes`` holds differences of daily amounts (new minus old), in the columns
     of daily_amounts. A difference on a day changes each period's totals from that
-    day until it leaves the period; only those days are recomputed. Corrections
-    outside an entity's days belong to ``history`` or ``advance``.
+    day until it leaves the period; only those days are recomputed, by advancing
+    the differences alone and adding what they come to. ``state`` has one row per
+    entity and day, as build and current give them; days it doesn't have belong to
+    build or advance and are left out.
     """
-    measures = _measures(changes)
-    states = [_column(m, p) for m in measures for p in periods]
-    longest = max(periods)
-    touched = changes.select("entity", F.col("day_no").alias("_at"), *measures, F.explode(F.sequence(F.col("day_no"), F.col("day_no") + longest - 1)).alias("day_no"))
-    sums = [F.sum(F.when(F.col("day_no") - F.col("_at") < p, F.col(m)).otherwise(F.lit(0))).alias(f"_{_column(m, p)}") for m in measures for p in periods]
-    delta = touched.groupBy("entity", "day_no").agg(*sums)
-    order = Window.partitionBy("entity", "day_no").orderBy(F.col("version").desc())
-    newest = state.join(delta, ["entity", "day_no"], "left_semi").withColumn("_k", F.row_number().over(order)).where("_k = 1")
-    return newest.join(delta, ["entity", "day_no"]).select("entity", "day_no", F.lit(version).cast("long").alias("version"), *[(F.col(s) + F.col(f"_{s}")).cast(state.schema[s].dataType).alias(s) for s in states])
+    states, longest = _states(changes, periods), max(periods)
+    # a change touches its day and those after it up to the next change or the end of the longest period
+    end = F.col("day_no") + longest - 1
+    after = F.lead("day_no").over(Window.partitionBy("entity").orderBy("day_no"))
+    touched = changes.select("entity", F.col("day_no").alias("first_day"), F.least(after - 1, end).alias("last_day"))
+    delta = build(changes, periods, touched, length).select("entity", "day_no", *[F.col(s).alias(f"_{s}") for s in states])
+    sums = [(F.col(s) + F.col(f"_{s}")).cast(k).alias(s) for s, (_, _, k) in states.items()]
+    return state.join(delta, ["entity", "day_no"]).select("entity", "day_no", F.lit(version).cast("long").alias("version"), *sums)
 
 
 def current(state: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.timeaxis import day_string, micros
 from ..operators.gridfill import regular_grid
 from ..operators.implausible import implausible, quote_limits
-from ..operators.readings import quote_readings
-from ..operators.rolling import daily_amounts, history
+from ..operators.readings import quote_loads, quote_readings
+from ..operators.rolling import build, correct, current, daily_amounts, spans
 from ..operators.sessions import sessions
 from ..operators.skew import frequent_values, salted_aggregate, unpivot_values
+from .cut import table_cut
 
 SESSION_GAP_US = 30 * 60 * 1_000_000
 #: Longest stretch of days over which a close is interpolated.
@@ -93,24 +94,50 @@ def p6_per_value(spark: SparkSession, folder: str) -> DataFrame:
 PERIODS = [7, 30]
 
 
-def _quote_state(spark: SparkSession, folder: str) -> DataFrame:
-    readings = quote_readings(_table(spark, folder, "quotes"), ["close", "volume"])
-    volume = F.when(F.col("volume") > 0, F.col("volume")).otherwise(0)
-    return history(daily_amounts(readings, "symbol", "day", {"volume": volume, "close": F.col("close")}), PERIODS)
+#: Days after which a load counts as late; what it changes is a correction.
+LATE_DAYS = 1
+
+
+def _quote_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(state, corrections, days) of the quotes: version 1 from the loads on time, version 2 of the days that late loads touch."""
+    loads = quote_loads(_table(spark, folder, "quotes"), ["close", "volume"], LATE_DAYS)
+    amounts = lambda load: daily_amounts(
+        loads.where(f"{load} is not null"), "symbol", "day", {"volume": F.when(F.col(f"{load}.volume") > 0, F.col(f"{load}.volume")).otherwise(F.lit(0)), "close": F.col(f"{load}.close")}
+    )
+    first, latest = amounts("first"), amounts("latest")
+    measures = [c for c in latest.columns if c not in ("entity", "day_no")]
+    before = first.select("entity", "day_no", *[F.col(m).alias(f"_{m}") for m in measures])
+    # a day without a load on time has nothing yet
+    both = latest.join(before, ["entity", "day_no"], "left").select(
+        "entity", "day_no", *[F.coalesce(f"_{m}", F.lit(0)).cast(latest.schema[m].dataType).alias(f"_{m}") for m in measures], *[(F.col(m) - F.coalesce(f"_{m}", F.lit(0))).cast(latest.schema[m].dataType).alias(m) for m in measures]
+    )
+    both = table_cut(both, "amounts")
+    days = spans(both)
+    state = table_cut(build(both.select("entity", "day_no", *[F.col(f"_{m}").alias(m) for m in measures]), PERIODS, days), "state")
+    changed = F.lit(False)
+    for m in measures:
+        changed = changed | (F.col(m) != 0)
+    return state, correct(state, both.select("entity", "day_no", *measures).where(changed), PERIODS, 2), days
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Days whose last 7 days hold more than half of the volume of the last 30."""
-    from pyspark.sql import Window
+    state, corrections, days = _quote_versions(spark, folder)
+    hits = current(state.unionByName(corrections)).where(2 * F.col("volume_sum_7") > F.col("volume_sum_30"))
+    found = hits.join(days.select("entity", "first_day"), "entity").where(F.col("day_no") >= F.col("first_day") + 29)
+    return found.select(F.col("entity").alias("symbol"), day_string(F.col("day_no")).alias("day"))
 
-    state = _quote_state(spark, folder).withColumn("first_day", F.min("day_no").over(Window.partitionBy("entity")))
-    hit = (F.col("day_no") >= F.col("first_day") + 29) & (2 * F.col("volume_sum_7") > F.col("volume_sum_30"))
-    return state.where(hit).select(F.col("entity").alias("symbol"), day_string(F.col("day_no")).alias("day"))
+
+def p7_corrections(spark: SparkSession, folder: str) -> DataFrame:
+    """The days that late loads touch, with their new totals."""
+    corrections = _quote_versions(spark, folder)[1]
+    return corrections.select(F.col("entity").alias("symbol"), day_string(F.col("day_no")).alias("day"), "version", *[F.col(f"volume_sum_{p}").cast("long").alias(f"volume_total_{p}") for p in PERIODS])
 
 
 def p7_rolling(spark: SparkSession, folder: str) -> DataFrame:
     """Totals and averages of volume and close over the last 7 and 30 days, for every day of a symbol."""
-    state = _quote_state(spark, folder)
+    state, corrections, _ = _quote_versions(spark, folder)
+    state = current(state.unionByName(corrections))
     cols = []
     for p in PERIODS:
         cols += [
@@ -123,7 +150,7 @@ def p7_rolling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_grid, p3_found, p3_sessions, p5_found, p5_reasons, p6_found, p6_per_value, p7_found, p7_rolling)}
+    return {f.__name__: f for f in (p1_found, p1_grid, p3_found, p3_sessions, p5_found, p5_reasons, p6_found, p6_per_value, p7_found, p7_rolling, p7_corrections)}
 
 
 _READINGS = """
@@ -161,6 +188,21 @@ w as (select symbol, a, day,
 """
 
 
+_LOADS = f"""
+with {_READINGS},
+o as (select upper(trim(symbol)) as symbol, day, close, volume from quotes where symbol is not null and day is not null and coalesce(date_diff('day', day, loaded_at::date) <= {LATE_DAYS}, true)
+      qualify row_number() over (partition by upper(trim(symbol)), day order by loaded_at desc nulls last, close desc nulls last, volume desc nulls last) = 1),
+t as (select r.symbol, r.day, greatest(coalesce(r.volume, 0), 0)::bigint as v,
+             (o.symbol is null or greatest(coalesce(r.volume, 0), 0) <> greatest(coalesce(o.volume, 0), 0)
+              or (case when isfinite(r.close) then r.close::double::decimal(38, 6) end) is distinct from (case when isfinite(o.close) then o.close::double::decimal(38, 6) end))::int as c
+      from r left join o on r.symbol = o.symbol and r.day = o.day),
+s as (select symbol, min(day) as a, max(day) as b from r group by symbol),
+d as (select symbol, unnest(generate_series(a, b, interval 1 day))::date as day from s),
+w as (select d.symbol, d.day, sum(coalesce(v, 0)) over w7 as v7, sum(coalesce(v, 0)) over w30 as v30, sum(coalesce(c, 0)) over w30 as c30 from d left join t using (symbol, day)
+      window w7 as (partition by symbol order by day range between interval 6 days preceding and current row), w30 as (partition by symbol order by day range between interval 29 days preceding and current row))
+"""
+
+
 def _spike_sql() -> str:
     parts = []
     for f in ("high", "low", "close", "volume"):
@@ -221,6 +263,7 @@ def oracle_sql() -> dict[str, str]:
             where col_value is not null and n > 0.05 * total""",
         "p6_per_value": f"{_VALUES} select col_name, col_value, count(*) as n_rows, count(distinct uid) as n_uids, min(epoch_us(log_time)) as first_us, max(epoch_us(log_time)) as last_us from v group by col_name, col_value",
         "p7_found": f"{_STATE} select symbol, strftime(day, '%Y-%m-%d') as day from w where day >= a + 29 and 2 * v7 > v30",
+        "p7_corrections": f"{_LOADS} select symbol, strftime(day, '%Y-%m-%d') as day, 2::bigint as version, v7::bigint as volume_total_7, v30::bigint as volume_total_30 from w where c30 > 0",
         "p7_rolling": f"""{_STATE} select symbol, strftime(day, '%Y-%m-%d') as day, v7::bigint as volume_total_7, v30::bigint as volume_total_30, round(v7 / 7, 4) as volume_mean_7, round(v30 / 30, 4) as volume_mean_30,
             n7::bigint as close_count_7, n30::bigint as close_count_30, case when n7 > 0 then round(round(s7, 2)::double / n7, 6) end as close_mean_7, case when n30 > 0 then round(round(s30, 2)::double / n30, 6) end as close_mean_30 from w""",
     }
