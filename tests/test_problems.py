@@ -123,7 +123,7 @@ def test_sessions(spark, share):
     rnd = random.Random(3)
     rows = [(1, rnd.randrange(3000)) for _ in range(400)] + [(rnd.randrange(2, 40), rnd.randrange(3000)) for _ in range(500)] + [(None, 5), (7, None), (99, 100), (99, 110), (99, 121), (1, 50), (1, 50)]
     df = spark.createDataFrame(rows, "uid bigint, at bigint").withColumn("key", F.lit(1))
-    out = sessions(df, "uid", "at", 10, heavy_share=share, shard_us=100)
+    out = sessions(df, "uid", "at", 10, heavy_share=share)
     assert sorted(tuple(r) for r in out.collect()) == session_model(rows, 10)
 
 
@@ -132,7 +132,7 @@ def test_sessions_across_batches(spark):
     try:
         rnd = random.Random(4)
         rows = [(str(rnd.randrange(6)), rnd.randrange(2000)) for _ in range(600)]
-        out = sessions(spark.createDataFrame(rows, "uid string, at bigint"), "uid", "at", 9, heavy_share=0.2, shard_us=250)
+        out = sessions(spark.createDataFrame(rows, "uid string, at bigint"), "uid", "at", 9, heavy_share=0.2)
         assert sorted(tuple(r) for r in out.collect()) == session_model(rows, 9)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -267,16 +267,18 @@ def test_salted_aggregate(spark):
     rnd = random.Random(6)
     rows = [(rnd.choice(["hot"] * 8 + ["x", "y", None]), rnd.choice([None, 1, 2, 3, 4]), rnd.choice([0.5, None, 2.5])) for _ in range(2000)]
     df = spark.createDataFrame(rows, "k string, u int, v double").withColumn("salt", F.lit("theirs"))
-    kinds = {"n": ("count", None), "nv": ("count", "v"), "s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "m": ("avg", "v"), "d": ("distinct", "u")}
+    kinds = {"n": ("count", None), "nv": ("count", "v"), "s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "m": ("avg", "v"), "d": ("distinct", "u"), "dv": ("distinct", "v")}
     got = {r.k: r for r in salted_aggregate(df, ["k"], kinds, salts=8, share=0.05).collect()}
     assert set(got) == {"hot", "x", "y", None}
     for k, r in got.items():
         mine = [x for x in rows if x[0] == k]
         v = [x[2] for x in mine if x[2] is not None]
         assert (r.n, r.nv, r.lo, r.hi) == (len(mine), len(v), min(v), max(v)) and r.s == pytest.approx(sum(v)) and r.m == pytest.approx(sum(v) / len(v))
-        assert r.d == len({x[1] for x in mine if x[1] is not None})
+        assert r.d == len({x[1] for x in mine if x[1] is not None}) and r.dv == len(set(v))
     assert salted_aggregate(df.where("false"), ["k"], kinds).count() == 0
-    assert [r.k for r in heavy_keys(df, ["k"], 0.5).collect()] == ["hot"]
+    assert {r.k: r.d for r in salted_aggregate(df, ["k"], {"d": ("distinct", "u")}, share=0.5).collect()} == {k: r.d for k, r in got.items()}
+    assert [r.k for r in heavy_keys(df, ["k"], 0.5).collect()] == ["hot"] and heavy_keys(df.where("false"), ["k"]).count() == 0
+    assert {r.k: r.heavy_rows for r in heavy_keys(df, ["k"], 1e-6).collect()} == {k: r.n for k, r in got.items()}
 
 
 def test_frequent_values(spark):

@@ -6,89 +6,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timeaxis import MICROS_A_DAY, micros
+from ..functions.timeaxis import micros
+from ..plans.cut import table_cut
 from .skew import HEAVY_SHARE, heavy_keys
 
+COLUMNS = ["key", "start_us", "end_us", "n_events"]
 
-def _scan(batches: Iterator[pa.RecordBatch], gap: int, key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, shard and time -> sessions. Between batches only the open session is kept."""
-    open_key, open_shard, start, end, n, first = None, None, 0, 0, 0, True
-
-    def emit(keys, shards, starts, ends, counts, firsts, lasts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [keys, pa.array(shards, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(counts, pa.int64()), pa.array(firsts), pa.array(lasts)],
-            ["key", "shard", "start_us", "end_us", "n_events", "first", "last"],
-        )
 
+def _scan(batches: Iterator[pa.RecordBatch], gap: int, key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Stretches sorted by key and start -> sessions: stretches with no pause between them are one. Between batches only the open session is kept."""
+    open_: pa.RecordBatch | None = None
     for batch in batches:
-        size = batch.num_rows
-        if not size:
+        if not batch.num_rows:
             continue
-        keys, shard, t = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        if open_ is not None:
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b.cast(a.type)]) for a, b in zip(open_.columns, batch.columns)], COLUMNS)
+        keys, start, end, n = batch.column(0).cast(key_type), *(batch.column(k).to_numpy() for k in (1, 2, 3))
         code = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        other = np.ones(size + 1, bool)  # another key or shard than the row before
-        other[1:size] = (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])
-        cut = other.copy()
-        cut[1:size] |= t[1:] - t[:-1] > gap
-        goes_on = n > 0 and keys[0].as_py() == open_key and shard[0] == open_shard
-        joins = goes_on and t[0] - end <= gap
-        at = np.flatnonzero(cut)  # starts of the sessions of this batch, and the end
-        starts, ends, counts = t[at[:-1]].copy(), t[at[1:] - 1].copy(), np.diff(at)
-        firsts, lasts = other[at[:-1]].copy(), other[at[1:]].copy()
-        firsts[0] = not goes_on or joins and first
-        if joins:
-            starts[0], counts[0] = start, counts[0] + n
-        elif n:
-            yield emit(pa.array([open_key], key_type), [open_shard], [start], [end], [n], [first], [not goes_on])
-        if len(starts) > 1:
-            yield emit(keys.take(pa.array(at[:-2])), shard[at[:-2]], starts[:-1], ends[:-1], counts[:-1], firsts[:-1], lasts[:-1])
-        open_key, open_shard, start, end, n, first = keys[int(at[-2])].as_py(), int(shard[-1]), int(starts[-1]), int(ends[-1]), int(counts[-1]), bool(firsts[-1])
-    if n:
-        yield emit(pa.array([open_key], key_type), [open_shard], [start], [end], [n], [first], [True])
+        # the latest end so far within the key: keys come in order, so ranks by key and end rise from key to key
+        order = np.lexsort((end, code))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        latest = end[order][np.maximum.accumulate(rank)]
+        at = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (start[1:] - latest[:-1] > gap))))
+        last = np.append(at[1:], len(start)) - 1
+        found = pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(start[at], pa.int64()), pa.array(latest[last], pa.int64()), pa.array(np.add.reduceat(n, at), pa.int64())], COLUMNS)
+        open_ = found.slice(len(found) - 1)
+        yield found.slice(0, len(found) - 1)
+    if open_ is not None:
+        yield open_
 
 
-def sessions(df: DataFrame, key: str, time: str, gap_us: int, heavy_share: float = HEAVY_SHARE, shard_us: int = MICROS_A_DAY) -> DataFrame:
+def sessions(df: DataFrame, key: str, time: str, gap_us: int, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """(key, start_us, end_us, duration_us, n_events) of every session.
 
-    A session ends where the key's next row is more than gap_us later. Rows are
-    partitioned by key, sorted by key and time and scanned once, holding one open
-    session. Rows with a null key or time are left out; rows of equal time and
-    repeated rows belong to one session and count each. A lone row is a session of
-    duration 0. Other columns of df play no part.
+    A session ends where the key's next row is more than gap_us later. Rows with a
+    null key or time are left out; rows of equal time and repeated rows belong to
+    one session and count each. A lone row is a session of duration 0. Other
+    columns of df play no part.
 
-    The rows of a key that holds heavy_share of all of them or more are cut into
-    shards of shard_us; the first and last session of a shard, two rows a shard,
-    are then joined across shards where no pause lies between.
+    Rows are sorted by key and time and scanned once, holding one open session:
+    first the rows of each input partition, whose stretches are written, then the
+    stretches of all partitions, partitioned by key. So a key's rows are combined
+    before the shuffle, at most one stretch a gap of time and partition. The
+    stretches of keys that still hold heavy_share of them or more are range-cut by
+    start into parts of equal size and scanned there before.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = df.select(F.col(key).alias("key"), micros(df, time).alias("t")).where("key is not null and t is not null")
-    kind = rows.schema["key"].dataType
-    arrow = to_arrow_type(kind)
-    schema = T.StructType(
-        [T.StructField("key", kind), *(T.StructField(c, T.LongType()) for c in ("shard", "start_us", "end_us", "n_events")), T.StructField("first", T.BooleanType()), T.StructField("last", T.BooleanType())]
-    )
-
-    def scanned(part: DataFrame) -> DataFrame:
-        ordered = part.repartition("key", "shard").sortWithinPartitions("key", "shard", "t")
-        return ordered.mapInArrow(lambda it: _scan(it, gap_us, arrow), schema)
-
-    found_columns = ["key", "start_us", "end_us", "n_events"]
-    heavy = heavy_keys(rows.select("key"), ["key"], heavy_share).select("key")
-    if heavy.isEmpty():
-        out = scanned(rows.select("key", F.lit(0).cast("long").alias("shard"), "t")).select(*found_columns)
-    else:
-        light = rows.join(F.broadcast(heavy), "key", "left_anti").select("key", F.lit(0).cast("long").alias("shard"), "t")
-        sharded = rows.join(F.broadcast(heavy), "key").select("key", F.floor(F.col("t") / shard_us).cast("long").alias("shard"), "t")
-        found = scanned(sharded)
-        edge = F.col("first") | F.col("last")
-        by_key = Window.partitionBy("key").orderBy("start_us", "end_us")
-        edges = found.where(edge).withColumn("new", (F.col("start_us") - F.lag("end_us").over(by_key) > gap_us).cast("int"))
-        edges = edges.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-        joined = edges.groupBy("key", "run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n_events").alias("n_events"))
-        out = scanned(light).select(*found_columns).unionByName(found.where(~edge).select(*found_columns)).unionByName(joined.select(*found_columns))
+    t = F.col("start_us")
+    rows = df.select(F.col(key).alias("key"), micros(df, time).alias("start_us")).where("key is not null and start_us is not null").select("key", t, t.alias("end_us"), F.lit(1).cast("long").alias("n_events"))
+    arrow = to_arrow_type(rows.schema["key"].dataType)
+    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *(T.StructField(c, T.LongType()) for c in COLUMNS[1:])])
+    scanned = lambda part: part.sortWithinPartitions("key", "start_us").mapInArrow(lambda it: _scan(it, gap_us, arrow), schema)
+    parts = table_cut(scanned(rows), "stretches")
+    heavy = heavy_keys(parts.select("key"), ["key"], heavy_share).select("key")
+    if not heavy.isEmpty():
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # at most 1 / heavy_share keys
+        hot = scanned(parts.join(F.broadcast(heavy), "key").select(*COLUMNS).repartitionByRange(n, "key", "start_us"))
+        parts = parts.join(F.broadcast(heavy), "key", "left_anti").select(*COLUMNS).unionByName(hot)
+    out = scanned(parts.repartition("key"))
     return out.select(F.col("key").alias(key), "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), "n_events")
