@@ -2,7 +2,8 @@
 
 Whole numbers are computed as longs. Division by zero gives null for whole
 numbers and an infinity or not-a-number for floats. Comparisons with
-not-a-number are false, except ``ne``.
+not-a-number are false, except ``ne``. Numbers, strings, dates and times are compared
+alike.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def int_div(a: Column, b: Column) -> Column:
 
 
 def mod(a: Column, b: Column) -> Column:
-    """Remainder with the sign of a; by zero not-a-number."""
+    """Remainder of floats with the sign of a; by zero not-a-number. Whole numbers beyond 2 ** 53 need int_mod."""
     a, b = a.cast("double"), b.cast("double")
     return F.when(b == 0, nan()).otherwise(F.try_mod(a, b))
 
@@ -45,7 +46,8 @@ def power(a: Column, b: Column) -> Column:
 
 
 def _real(c: Column) -> Column:
-    return ~F.isnan(c.cast("double"))
+    """Not not-a-number. Of other types than floats, which the optimizer knows, nothing is tested."""
+    return F.when(F.typeof(c).isin("float", "double"), c.cast("string") != "NaN").otherwise(F.lit(True))
 
 
 def eq(a: Column, b: Column) -> Column:
@@ -73,12 +75,18 @@ def ge(a: Column, b: Column) -> Column:
 
 
 def maxof(a: Column, b: Column) -> Column:
-    """a where it is greater, else b."""
-    return F.when(gt(a, b), a).otherwise(b)
+    """a where it is greater, else b; null where either is."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(gt(a, b), a).otherwise(b))
 
 
 def minof(a: Column, b: Column) -> Column:
-    return F.when(lt(a, b), a).otherwise(b)
+    """a where it is less, else b; null where either is."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(lt(a, b), a).otherwise(b))
+
+
+def join_strings(a: Column, b: Column) -> Column:
+    """b's characters after a's; null where either is."""
+    return F.concat(a, b)
 
 
 def log(x: Column) -> Column:
@@ -149,5 +157,10 @@ def cut(key: Column, **types: str) -> list[Column]:
     return [key[n].cast(t).alias(n) for n, t in types.items()]
 
 
+def as_type(key: Column, kind: str) -> Column:
+    """A compound key as a struct of other field names or types, field by field."""
+    return key.cast(kind)
+
+
 def as_array(key: Column, names: list[str]) -> Column:
     return F.array(*[key[n].cast("string") for n in names])

@@ -37,6 +37,25 @@ def cast(c: Column, source: str, target: str, length: int | None = None) -> Colu
     return F.substring(out, 1, length) if target in ("bpchar", "varchar") and length else out
 
 
+#: Bytes of an element of each Spark type (fixed values); strings have no size of their own.
+SIZES = {"tinyint": 1, "boolean": 1, "smallint": 2, "int": 4, "date": 4, "float": 4, "bigint": 8, "timestamp_ntz": 8, "timestamp": 8, "double": 8, "decimal(19,2)": 8}
+
+
+def type_of(df: DataFrame, column: str) -> str:
+    """Element type of a column, by its Spark type; of types that share one the first."""
+    kind = df.select(column).schema[0].dataType.simpleString()
+    alias = {"tinyint": "byte", "smallint": "short", "timestamp": "timestamp_ntz"}.get(kind, kind)
+    for name, spark_type in TYPES.items():
+        if spark_type == alias:
+            return name
+    raise ValueError(f"no element type for {kind}")
+
+
+def elem_size(df: DataFrame, column: str) -> int | None:
+    """Bytes of an element, null for strings."""
+    return SIZES.get(df.select(column).schema[0].dataType.simpleString())
+
+
 _ITEM = re.compile(r'\s*(?:"((?:[^"\\]|\\.)*)"|([^,{}]*))\s*(,|$)')
 
 

@@ -24,5 +24,10 @@ def decode(df: DataFrame, words: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(words.select(F.col("code").alias(column), F.col("word").alias(out)), column, "left")
 
 
+def decode_key(df: DataFrame, words: DataFrame, key: str, field: str, out: str) -> DataFrame:
+    """df with the string of the code in one field of a compound key, null for unknown ones."""
+    return decode(df.withColumn("_code", F.col(key)[field]), words, "_code", out).drop("_code")
+
+
 def size(words: DataFrame) -> DataFrame:
     return words.agg(F.count("*").alias("n"))

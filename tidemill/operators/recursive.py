@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..plans import single
+
 
 def _groups(pdf: pd.DataFrame, ids: list[str]) -> np.ndarray:
     """Number of the run of equal ids that each row belongs to."""
@@ -84,23 +86,31 @@ def _wilder(batches: Iterator[pd.DataFrame], ids: list[str], pos: str, value: st
         yield res
 
 
+def scan_sorted(df: DataFrame, ids: list[str], value: str, alpha: float, out: str, seed: float | None = None) -> DataFrame:
+    """scan_average of partitions that are sorted already; each begins anew."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    return df.mapInPandas(lambda it: _average(it, ids, value, alpha, out, seed), schema)
+
+
 def _sorted(df: DataFrame, ids: list[str], pos: str) -> DataFrame:
-    spread = df.repartition(*ids) if ids else df.coalesce(1)
-    return spread.sortWithinPartitions(*ids, pos)
+    return df.repartition(*ids).sortWithinPartitions(*ids, pos)
 
 
 def scan_average(df: DataFrame, ids: list[str], pos: str, value: str, alpha: float, out: str, seed: float | None = None) -> DataFrame:
     """df with the exponential average of value by ids in order of pos. Without a seed the first value is the first average. Nulls keep the average."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    return _sorted(df, ids, pos).mapInPandas(lambda it: _average(it, ids, value, alpha, out, seed), schema)
+    return scan_sorted(_sorted(df, ids, pos), ids, value, alpha, out, seed)
 
 
 def moving_average(df: DataFrame, ids: list[str], pos: str, value: str, n: int, out: str) -> DataFrame:
-    """Exponential average of weight 2 / (n + 1). One series is scanned by one task; for one long series see plans.single."""
+    """Exponential average of weight 2 / (n + 1). A series with an id is scanned by one task, one without ids in chunks."""
+    if not ids:
+        return single.moving_average(df, [pos], value, n, out)
     return scan_average(df, ids, pos, value, 2.0 / (n + 1), out)
 
 
 def smoothed_range(df: DataFrame, ids: list[str], pos: str, value: str, n: int, out: str) -> DataFrame:
-    """Running mean over the first n values, then acc * (n - 1) / n + v / n. pos counts from 0; value has no nulls."""
+    """Running mean over the first n values, then acc * (n - 1) / n + v / n. pos counts from 0; value has no nulls. A series without ids is scanned in chunks."""
+    if not ids:
+        return single.smoothed_range(df, [pos], value, n, out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
     return _sorted(df, ids, pos).mapInPandas(lambda it: _wilder(it, ids, pos, value, n, out), schema)

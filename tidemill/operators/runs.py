@@ -21,6 +21,8 @@ def _measure(kind: str, value: str, pos: str) -> Column:
         return F.min_by(value, pos)
     if kind == "last":
         return F.max_by(value, pos)
+    if kind == "distinct":
+        return F.count_distinct(value)
     return ONE[kind](F.col(value))
 
 

@@ -78,9 +78,19 @@ for _kind, _sql in _GRAND.items():
     query(f"grand_{_kind}", f"select user_id, {_sql} as result from events group by user_id")(_grand)
 
 
-@query("grand_approxdc")
+#: Three standard errors of the approximate counts.
+APPROX = 0.27
+
+
+def _near(exact: str) -> Column:
+    """Whether an approximate count lies within three errors of the exact one, and not further than 2 for small ones."""
+    return F.abs(F.col("result") - F.col(exact)) <= F.greatest(F.lit(APPROX) * F.col(exact), F.lit(2.0))
+
+
+@query("grand_approxdc", "select user_id, count(distinct floor(value)) as exact, true as near from events group by user_id")
 def _(spark, folder):
-    return agg.grand(_table(spark, folder, "events"), ["user_id"], result=agg.one("approxdc", F.floor("value")))
+    out = agg.grand(_table(spark, folder, "events"), ["user_id"], result=agg.one("approxdc", F.floor("value")), exact=F.count_distinct(F.floor("value")))
+    return out.select("user_id", "exact", _near("exact").alias("near"))
 
 
 _TWO = {
@@ -109,10 +119,10 @@ def _(spark, folder):
     return agg.grand(_table(spark, folder, "lineitem"), [], vwap=r6(agg.two("wavg", "l_quantity", "l_extendedprice")))
 
 
-@query("vwap_range", "select l_suppkey, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 6) as vwap from lineitem where l_shipdate between timestamp '1994-01-01' and timestamp '1994-03-31' group by l_suppkey")
+@query("vwap_range", "select l_suppkey, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 6) as vwap from lineitem where l_shipdate between timestamp '1997-01-01' and timestamp '1997-03-31' group by l_suppkey")
 def _(spark, folder):
-    rows = _table(spark, folder, "lineitem").where("l_shipdate between timestamp_ntz '1994-01-01' and timestamp_ntz '1994-03-31'")
-    return agg.grand(rows, ["l_suppkey"], vwap=r6(agg.two("wavg", "l_quantity", "l_extendedprice")))
+    store = Store.load(_table(spark, folder, "lineitem"), "l_shipdate", ["l_suppkey"])
+    return agg.grand(store.get(None, _ntz("1997-01-01"), _ntz("1997-03-31")).rows, ["l_suppkey"], vwap=r6(agg.two("wavg", "l_quantity", "l_extendedprice")))
 
 
 # keys
@@ -129,9 +139,10 @@ for _kind, _sql in _HASH.items():
     query(f"hash_{_kind}", f"select event_type, {_sql} as result from events group by event_type")(_hash)
 
 
-@query("hash_approxdc")
+@query("hash_approxdc", "select event_type, count(distinct user_id) as exact, true as near from events group by event_type")
 def _(spark, folder):
-    return agg.by_key(_table(spark, folder, "events"), ["event_type"], result=agg.one("approxdc", "user_id"))
+    out = agg.by_key(_table(spark, folder, "events"), ["event_type"], result=agg.one("approxdc", "user_id"), exact=F.count_distinct("user_id"))
+    return out.select("event_type", "exact", _near("exact").alias("near"))
 
 
 @query("hash_dup_count", "select event_type, count(*) filter (n >= 3) as result from (select event_type, user_id, count(*) as n from events group by event_type, user_id) group by event_type")
@@ -204,9 +215,10 @@ for _kind, _sql in _RUN.items():
     query(f"win_group_{_kind}", f"{_RUNS} select user_id, pos, {_shown} as result from r")(_win_run)
 
 
-@query("group_approxdc")
+@query("group_approxdc", f"{_RUNS} select user_id, run_id, count(distinct value) as exact, true as near from r group by user_id, run_id")
 def _(spark, folder):
-    return runs.by_run(_events(spark, folder, "value", "event_type"), ["event_type"], result=("approxdc", "value"))
+    out = runs.by_run(_events(spark, folder, "value", "event_type"), ["event_type"], result=("approxdc", "value"), exact=("distinct", "value"))
+    return out.select("user_id", "run_id", "exact", _near("exact").alias("near"))
 
 
 # stretches of equal length
@@ -266,7 +278,14 @@ def _(spark, folder):
     return whole.keep("result")
 
 
-@query("strength_index")
+@query(
+    "strength_index",
+    f"""with recursive e as (select user_id, value, row_number() over (partition by user_id order by ts) - 1 as pos from events),
+    d as (select user_id, pos, coalesce(value - lag(value) over (partition by user_id order by pos), 0) as d from e),
+    m as (select user_id, pos, greatest(d, 0)::double as g, greatest(-d, 0)::double as l from d where pos = 0 union all
+          select d.user_id, d.pos, greatest(d.d, 0) * 2.0 / 15 + m.g * (1 - 2.0 / 15), greatest(-d.d, 0) * 2.0 / 15 + m.l * (1 - 2.0 / 15) from m join d on d.user_id = m.user_id and d.pos = m.pos + 1)
+    select user_id, pos, case when l = 0 and g = 0 then 'NaN'::double when l = 0 then 100 else round(100 - 100 / (1 + g / l), 6) end as rsi from m""",
+)
 def _(spark, folder):
     out = windows.strength(_events(spark, folder), "value", 14)
     return out.df.select("user_id", "pos", r6("rsi").alias("rsi"))
@@ -385,6 +404,11 @@ def _(spark, folder):
     return _table(spark, folder, "orders").select("o_totalprice").distinct().agg(F.count("o_totalprice").alias("n"))
 
 
+def _single(spark, folder, *columns: str) -> DataFrame:
+    """All events as one series in order of time."""
+    return _table(spark, folder, "events").select("event_id", "ts", *(columns or ("value",)))
+
+
 @query(
     "longest_gaps",
     """select event_id, gap_us from (select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (order by ts) as gap_us from events) where gap_us is not null order by gap_us desc, event_id limit 5""",
@@ -415,6 +439,81 @@ def _(spark, folder):
     return single.moving_average(_table(spark, folder, "events").select("event_id", "ts", "value"), ["ts"], "value", 10).select("event_id", r6("ema").alias("result"))
 
 
+@query("single_changes", "select event_id, round(coalesce(value - lag(value) over (order by ts), 0), 6) as result from events")
+def _(spark, folder):
+    return single.changes(_single(spark, folder), ["ts"], "value").select("event_id", r6("change").alias("result"))
+
+
+_ONE = "with e as (select *, row_number() over (order by ts) - 1 as pos from events)"
+
+
+@query("single_runs", f"{_ONE} select event_id, sum(new) over (order by pos rows unbounded preceding)::bigint - 1 as run_id from (select *, case when event_type is not distinct from lag(event_type) over (order by pos) and pos > 0 then 0 else 1 end as new from e)")
+def _(spark, folder):
+    return single.runs(_single(spark, folder, "event_type"), ["ts"], "event_type").select("event_id", "run_id")
+
+
+@query("single_unique", f"{_ONE} select event_id from (select *, lag(event_type) over (order by pos) as p from e) where pos = 0 or event_type is distinct from p")
+def _(spark, folder):
+    return single.unique(_single(spark, folder, "event_type"), ["ts"], "event_type").select("event_id")
+
+
+@query(
+    "single_trend",
+    f"""{_ONE}, s as (select event_id, pos, nullif(sign(floor(value / 20) - lag(floor(value / 20)) over (order by pos)), 0)::int as s from e)
+    select event_id, coalesce(last_value(s ignore nulls) over (order by pos rows unbounded preceding), 0) as trend from s""",
+)
+def _(spark, folder):
+    return single.trend(_single(spark, folder).withColumn("value", F.floor(F.col("value") / 20)), ["ts"], "value").select("event_id", "trend")
+
+
+for _kind, _f in (("max", "max(value)"), ("min", "min(value)"), ("avg", "avg(value)"), ("var", "var_pop(value)"), ("dev", "stddev_pop(value)"), ("prd", "product(1 + (value - 50) / 100000)")):
+
+    def _single_cum(spark, folder, kind=_kind):
+        rows = _single(spark, folder)
+        if kind == "prd":
+            rows = rows.withColumn("value", 1 + (F.col("value") - 50) / 100000)
+        return single.running(rows, ["ts"], "value", kind).select("event_id", F.round("running", 4).alias("result"))
+
+    query(f"single_cum_{_kind}", f"select event_id, round({_f} over (order by ts rows unbounded preceding), 4) as result from events")(_single_cum)
+
+
+@query(
+    "single_atr",
+    """with recursive e as (select event_id, value, row_number() over (order by ts) - 1 as pos from events),
+    m as (select event_id, pos, value::double as a from e where pos = 0 union all select e.event_id, e.pos, (m.a * (least(e.pos + 1, 14) - 1) + e.value) / least(e.pos + 1, 14) from m join e on e.pos = m.pos + 1)
+    select event_id, round(a, 6) as result from m""",
+)
+def _(spark, folder):
+    return single.smoothed_range(_single(spark, folder), ["ts"], "value", 14).select("event_id", r6("atr").alias("result"))
+
+
+@query("single_sort", f"{_ONE} select event_id, row_number() over (order by floor(value), pos) - 1 as pos, pos as from_pos from e")
+def _(spark, folder):
+    rows = single.positions(_single(spark, folder).withColumn("value", F.floor("value")), ["ts"])
+    return single.sort(rows, "value", "pos").select("event_id", "pos", "from_pos")
+
+
+for _name, _dense in (("single_rank", False), ("single_dense_rank", True)):
+    query(_name, f"select event_id, {'dense_rank' if _dense else 'rank'}() over (order by floor(value) desc) as result from events")(
+        lambda spark, folder, dense=_dense: single.ranks(_single(spark, folder).withColumn("value", F.floor("value")), "value", "result", descending=True, dense=dense).select("event_id", "result")
+    )
+
+
+@query("single_quantiles", "with k as (select value as v, row_number() over (order by value) - 1 as k, count(*) over () as n from events), p as (select *, unnest([0, 1, 2, 3, 4, 5]) as part from k) select part, v from p where (part < 5 and k = n * part // 5) or (part = 5 and k = n - 1)")
+def _(spark, folder):
+    return single.quantiles(_single(spark, folder), "value", 5)
+
+
+@query("spread_runs", f"{_RUNS} select user_id, event_id, run_id::bigint as run_id from r")
+def _(spark, folder):
+    return single.runs(_table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type"), ["ts"], "event_type", ids=["user_id"]).select("user_id", "event_id", "run_id")
+
+
+@query("spread_quantiles", "with k as (select user_id, value as v, row_number() over (partition by user_id order by value) - 1 as k, count(*) over (partition by user_id) as n from events), p as (select *, unnest([0, 1, 2, 3, 4, 5]) as part from k) select user_id, part, v from p where (part < 5 and k = n * part // 5) or (part = 5 and k = n - 1)")
+def _(spark, folder):
+    return single.quantiles(_table(spark, folder, "events").select("user_id", "value"), "value", 5, ["user_id"])
+
+
 @query("spread_positions", f"{E} select user_id, event_id, pos from e")
 def _(spark, folder):
     s = Series.of(_table(spark, folder, "events").select("user_id", "ts", "event_id"), ["ts"], ["user_id"], spread=True)
@@ -671,6 +770,48 @@ def _(spark, folder):
     return _table(spark, folder, "events").select("event_id", k.bitwiseAND(12).alias("a"), k.bitwiseOR(5).alias("o"), k.bitwiseXOR(9).alias("x"), F.bitwise_not(k).alias("n"), (~(k % 2 == 0)).alias("odd"))
 
 
+_PAIRS = ("eq", "=", S.eq), ("ne", "<>", S.ne), ("lt", "<", S.lt), ("le", "<=", S.le), ("gt", ">", S.gt), ("ge", ">=", S.ge)
+for _name, _kind, _a, _b, _sql_a, _sql_b in (
+    ("compare_strings", "strings", F.col("event_type"), F.lit("purchase"), "event_type", "'purchase'"),
+    ("compare_dates", "dates", F.to_date("ts"), F.lit("2024-01-15").cast("date"), "ts::date", "date '2024-01-15'"),
+    ("compare_times", "times", F.col("ts"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), "ts", "timestamp '2024-01-15 12:00:00'"),
+):
+
+    def _compare(spark, folder, a=_a, b=_b):
+        return _table(spark, folder, "events").select("event_id", *[f(a, b).alias(n) for n, _, f in _PAIRS], S.maxof(a, b).cast("string").alias("hi"), S.minof(a, b).cast("string").alias("lo"))
+
+    _text = (lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')") if _kind == "times" else (lambda c: f"({c})::varchar")
+    query(_name, "select event_id, " + ", ".join(f"{_sql_a} {o} {_sql_b} as {n}" for n, o, _ in _PAIRS) + f", {_text(f'greatest({_sql_a}, {_sql_b})')} as hi, {_text(f'least({_sql_a}, {_sql_b})')} as lo from events")(
+        _compare if _kind != "times" else lambda spark, folder, f=_compare: f(spark, folder).withColumn("hi", F.substring("hi", 1, 19)).withColumn("lo", F.substring("lo", 1, 19))
+    )
+
+
+@query(
+    "compare_nan",
+    "select event_id, event_id % 3 = 0 as nan, event_id % 3 <> 0 and value = 50 as eq, event_id % 3 = 0 or value <> 50 as ne, event_id % 3 <> 0 and value < 50 as lt, event_id % 3 <> 0 and value <= 50 as le, event_id % 3 <> 0 and value > 50 as gt, event_id % 3 <> 0 and value >= 50 as ge from events",
+)
+def _(spark, folder):
+    v, h = F.when(F.col("event_id") % 3 == 0, S.nan()).otherwise(F.col("value")), F.lit(50.0)
+    return _table(spark, folder, "events").select("event_id", F.isnan(v).alias("nan"), *[f(v, h).alias(n) for n, _, f in _PAIRS])
+
+
+@query("join_strings", "select event_id, event_type || '/' || user_id::varchar as joined from events")
+def _(spark, folder):
+    return _table(spark, folder, "events").select("event_id", S.join_strings(S.join_strings(F.col("event_type"), F.lit("/")), F.col("user_id").cast("string")).alias("joined"))
+
+
+@query("key_as", "select l_returnflag as flag, ascii(l_linestatus) as status, count(*) as n from lineitem group by all")
+def _(spark, folder):
+    key = S.as_type(S.cat(a=F.col("l_returnflag"), b=F.ascii("l_linestatus")), "struct<flag: string, status: bigint>")
+    return agg.by_key(_table(spark, folder, "lineitem").withColumn("key", key), ["key"], n=F.count("*")).select("key.flag", F.col("key.status").cast("int").alias("status"), "n")
+
+
+@query("element_types", "select * from (values ('event_id', 'int8', 8), ('ts', 'timestamp', 8), ('event_type', 'bpchar', null), ('value', 'float8', 8)) as t(name, kind, size)")
+def _(spark, folder):
+    df = _table(spark, folder, "events")
+    return spark.createDataFrame([(c, ty.type_of(df, c), ty.elem_size(df, c)) for c in ("event_id", "ts", "event_type", "value")], "name string, kind string, size int")
+
+
 @query(
     "compare",
     "select event_id, value = 50 as eq, value <> 50 as ne, value < 50 as lt, value <= 50 as le, value > 50 as gt, value >= 50 as ge, greatest(value, event_id) as hi, least(value, event_id) as lo, false as nan from events",
@@ -737,6 +878,14 @@ def _(spark, folder):
     return dictionary.decode(coded, words, "type_code", "type_word").select("event_id", "type_code", "type_word")
 
 
+@query("dictionary_key", f"{_WORDS} select d.word as type_word, e.user_id % 7 as u, count(*) as n from events e join d on d.word = e.event_type group by all")
+def _(spark, folder):
+    df = _table(spark, folder, "events")
+    words = dictionary.dictionary(df, ["event_type", "props"])
+    keyed = dictionary.encode(df.select("user_id", "event_type"), words, "event_type", "code").select(S.cat(code=F.col("code"), u=F.col("user_id") % 7).alias("key"))
+    return dictionary.decode_key(agg.by_key(keyed, ["key"], n=F.count("*")), words, "key", "code", "type_word").select("type_word", "key.u", "n")
+
+
 @query("dictionary_size", f"{_WORDS} select count(*) as n from d")
 def _(spark, folder):
     return dictionary.size(dictionary.dictionary(_table(spark, folder, "events"), ["event_type", "props"]))
@@ -767,9 +916,17 @@ def _(spark, folder):
     return _table(spark, folder, "events").select("event_id", udf.call(F.col("value"), twice).alias("result"))
 
 
-@query("profile")
+udf.watch(agg, dictionary, ranking, reshape, runs, special, tsjoin, windows)
+
+
+@query("profile", "select * from (values ('agg.one', 2), ('reshape.limit', 1), ('reshape.tail', 1), ('sqrt', 1), ('TOTAL', 5)) as t(command, counter)")
 def _(spark, folder):
-    udf.count_call("profile")
+    udf.profile(spark, reset=True)
+    s = Series(_table(spark, folder, "events").withColumn("pos", F.col("event_id")), ("user_id",))
+    reshape.tail(s, 3)
+    agg.one("sum", "value")
+    agg.one("max", "value")
+    udf.call(F.col("value"), "sqrt")
     return udf.profile(spark)
 
 
@@ -821,6 +978,22 @@ def _(spark, folder):
     return s.first().join(s.last(), "user_id").join(s.count(), "user_id")
 
 
+@query("store_ends_ids", "select user_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n from events where user_id in (3, 5, 8) group by user_id")
+def _(spark, folder):
+    s = _store(spark, folder)
+    return s.first([3, 5, 8]).join(s.last([3, 5, 8]), "user_id").join(s.count([3, 5, 8]), "user_id")
+
+
+@query("store_span_ids", f"{_SIZED} select user_id, pos - 1 as pos, event_id from n where pos >= 1 and pos <= n - 2 and user_id in (3, 5)")
+def _(spark, folder):
+    return _store(spark, folder).span([3, 5], 1, -2).series.keep("event_id")
+
+
+@query("store_truncate", "select user_id, 0::bigint as pos, event_id from events where false")
+def _(spark, folder):
+    return _store(spark, folder).truncate().series.keep("event_id")
+
+
 @query("store_delete", f"select user_id, row_number() over (partition by user_id order by ts) - 1 as pos, event_id from events where not ({_BETWEEN})")
 def _(spark, folder):
     return _store(spark, folder).delete(None, _ntz(_FROM), _ntz(_TILL)).series.keep("event_id")
@@ -900,6 +1073,64 @@ def _(spark, folder):
     return spark.read.schema("event_type string, start timestamp, n long, total double").parquet(out).withColumn("total", F.round("total", 4))
 
 
+#: Days of events that arrive together; every twentieth event arrives with the next lot.
+_LOT_DAYS = 10
+_LOTS = f"""lots as (select *, date_diff('day', date '2024-01-01', ts::date) // {_LOT_DAYS} + (event_id % 20 = 0)::int as lot from events),
+    seen as (select *, max(ts) over (partition by user_id order by lot range between unbounded preceding and 1 preceding) as before from lots),
+    g as (select *, row_number() over (partition by user_id order by lot, ts) - 1 as pos from seen where before is null or ts >= before)"""
+
+
+def _lots(spark, folder) -> tuple[DataFrame, str]:
+    """A stream of the events in lots, one file and micro-batch each."""
+    events = _table(spark, folder, "events")
+    lot = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / _LOT_DAYS) + (F.col("event_id") % 20 == 0).cast("int")
+    marked, path = events.withColumn("lot", lot), new_folder(spark, "lots")
+    low, high = marked.agg(F.min("lot"), F.max("lot")).first()
+    for k in range(low, high + 1):
+        marked.where(F.col("lot") == k).drop("lot").coalesce(1).write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path), path
+
+
+@query(
+    "stream_lots",
+    f"""with recursive {_LOTS},
+    m as (select user_id, pos, ts, value::double as ema, value::double as atr, value as running from g where pos = 0 union all
+          select g.user_id, g.pos, g.ts, g.value * 2.0 / {_N + 1} + m.ema * (1 - 2.0 / {_N + 1}), (m.atr * (least(g.pos + 1, {_N}) - 1) + g.value) / least(g.pos + 1, {_N}), m.running + g.value from m join g on g.user_id = m.user_id and g.pos = m.pos + 1)
+    select s.user_id, epoch_us(s.ts) as us, m.pos is null as late, coalesce(m.pos, -1) as pos, round(running, 4) as running, round(ema, 6) as ema, round(atr, 6) as atr,
+           case when m.pos is not null then min(s.value) filter (m.pos is not null) over w end as low, case when m.pos is not null then round(var_pop(s.value) filter (m.pos is not null) over w, 3) end as var
+    from seen s left join m on s.user_id = m.user_id and s.ts = m.ts window w as (partition by s.user_id order by s.lot, s.ts rows unbounded preceding)""",
+)
+def _(spark, folder):
+    from ..streaming.append import into_table, running_state
+
+    stream, _ = _lots(spark, folder)
+    out, marks = new_folder(spark, "stream"), new_folder(spark, "stream-marks")
+    into_table(running_state(stream, "user_id", "ts", "value", _N), out, marks)
+    found = spark.read.parquet(out)
+    known = lambda c, digits: F.when(~F.col("late"), F.round(c, digits)).alias(c)
+    return found.select(F.col("key").alias("user_id"), micros(found, "ts").alias("us"), "late", "pos", known("running", 4), known("ema", 6), known("atr", 6), F.when(~F.col("late"), F.col("low")).alias("low"), known("var", 3))
+
+
+@query("stream_grid", f"with {_LOTS}, p as (select user_id, value, row_number() over (partition by user_id order by lot, ts) - 1 as pos from lots) select user_id, pos // 6 as cell, count(*) as n, round(sum(value), 4) as total, min(value) as low, max(value) as high from p group by user_id, pos // 6 having count(*) = 6")
+def _(spark, folder):
+    from ..streaming.append import into_table, running_grid
+
+    stream, _ = _lots(spark, folder)
+    out, marks = new_folder(spark, "stream"), new_folder(spark, "stream-marks")
+    into_table(running_grid(stream, "user_id", "ts", "value", 6), out, marks)
+    return spark.read.parquet(out).select(F.col("key").alias("user_id"), "cell", "n", F.round("total", 4).alias("total"), "low", "high")
+
+
+@query("stream_store", f"with {_LOTS} select user_id, row_number() over (partition by user_id order by pos) - 1 as pos, epoch_us(ts) as us, value from g where {_BETWEEN}")
+def _(spark, folder):
+    from ..streaming.append import append_to_store
+
+    stream, _ = _lots(spark, folder)
+    store = append_to_store(stream, new_folder(spark, "stream-store"), new_folder(spark, "stream-marks"), "user_id", "ts", "value")
+    part = store.get(None, _ntz(_FROM), _ntz(_TILL)).series
+    return part.df.select("user_id", "pos", micros(part.df, "ts").alias("us"), "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
