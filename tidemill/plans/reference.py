@@ -772,13 +772,13 @@ def _(spark, folder):
 
 _PAIRS = ("eq", "=", S.eq), ("ne", "<>", S.ne), ("lt", "<", S.lt), ("le", "<=", S.le), ("gt", ">", S.gt), ("ge", ">=", S.ge)
 for _name, _kind, _a, _b, _sql_a, _sql_b in (
-    ("compare_strings", "strings", F.col("event_type"), F.lit("purchase"), "event_type", "'purchase'"),
-    ("compare_dates", "dates", F.to_date("ts"), F.lit("2024-01-15").cast("date"), "ts::date", "date '2024-01-15'"),
-    ("compare_times", "times", F.col("ts"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), "ts", "timestamp '2024-01-15 12:00:00'"),
+    ("compare_strings", "strings", lambda: F.col("event_type"), lambda: F.lit("purchase"), "event_type", "'purchase'"),
+    ("compare_dates", "dates", lambda: F.to_date("ts"), lambda: F.lit("2024-01-15").cast("date"), "ts::date", "date '2024-01-15'"),
+    ("compare_times", "times", lambda: F.col("ts"), lambda: F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), "ts", "timestamp '2024-01-15 12:00:00'"),
 ):
 
     def _compare(spark, folder, a=_a, b=_b):
-        return _table(spark, folder, "events").select("event_id", *[f(a, b).alias(n) for n, _, f in _PAIRS], S.maxof(a, b).cast("string").alias("hi"), S.minof(a, b).cast("string").alias("lo"))
+        return _table(spark, folder, "events").select("event_id", *[f(a(), b()).alias(n) for n, _, f in _PAIRS], S.maxof(a(), b()).cast("string").alias("hi"), S.minof(a(), b()).cast("string").alias("lo"))
 
     _text = (lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')") if _kind == "times" else (lambda c: f"({c})::varchar")
     query(_name, "select event_id, " + ", ".join(f"{_sql_a} {o} {_sql_b} as {n}" for n, o, _ in _PAIRS) + f", {_text(f'greatest({_sql_a}, {_sql_b})')} as hi, {_text(f'least({_sql_a}, {_sql_b})')} as lo from events")(
