@@ -331,7 +331,7 @@ def test_rolling(spark):
     new = correct(state, changed, periods, 2, length=13)
     assert {r.version for r in new.collect()} == {2} and {r.day_no for r in new.collect()} == {d for k, d in want if k == s and e <= d < e + 5 + max(periods)}
     newest = current(state.unionByName(new))
-    assert as_map(newest, periods) == rolling_model([*rows, *more], periods)
+    assert as_map(newest, periods) == rolling_model([*rows, *more], periods) and as_map(current(state, new), periods) == as_map(newest, periods)
     back = changed.select("entity", "day_no", (-F.col("v_sum")).cast("decimal(38,6)").alias("v_sum"), (-F.col("v_n")).alias("v_n"))
     again = current(newest.unionByName(correct(newest, back, periods, 3)))
     assert as_map(again, periods) == want and {r.version for r in again.collect()} == {1, 3}

@@ -31,10 +31,24 @@ def amount(c: Column, whole: bool = False) -> Column:
     return c.cast("long") if whole else F.when(~F.isnan(x) & (F.abs(x) <= LARGEST), x.cast(AMOUNT))
 
 
+def _whole(readings: DataFrame, values: dict[str, Column]) -> dict[str, bool]:
+    kinds = readings.select(*[c.alias(n) for n, c in values.items()]).schema
+    return {n: isinstance(kinds[n].dataType, T.IntegralType) for n in values}
+
+
+def amount_columns(readings: DataFrame, values: dict[str, Column]) -> dict[str, Column]:
+    """The columns <name>_sum and <name>_n of readings that are one row per entity and day already."""
+    whole = _whole(readings, values)
+    out = {}
+    for n, c in values.items():
+        x = amount(c, whole[n])
+        out |= {f"{n}_sum": F.coalesce(x, F.lit(0)).cast("long" if whole[n] else AMOUNT), f"{n}_n": x.isNotNull().cast("long")}
+    return out
+
+
 def daily_amounts(readings: DataFrame, entity: str, day: str, values: dict[str, Column]) -> DataFrame:
     """(entity, day_no, <name>_sum, <name>_n, ...) per entity and day; day_no is days since 1970-01-01. Sums of no value are 0."""
-    kinds = readings.select(*[c.alias(n) for n, c in values.items()]).schema
-    whole = {n: isinstance(kinds[n].dataType, T.IntegralType) for n in values}
+    whole = _whole(readings, values)
     picked = readings.select(F.col(entity).alias("entity"), F.col(day).alias("_day"), *[amount(c, whole[n]).alias(n) for n, c in values.items()])
     sums = [x for n in values for x in (F.coalesce(F.sum(n), F.lit(0)).cast("long" if whole[n] else AMOUNT).alias(f"{n}_sum"), F.count(n).cast("long").alias(f"{n}_n"))]
     # grouped by the columns as they come: readings that are already one row per entity and day aren't shuffled again
@@ -73,20 +87,18 @@ def advance(yesterday: DataFrame, daily: DataFrame, days: DataFrame, periods: li
     Within a stretch a day's state is the running sum of what came before: the eve's
     totals, every amount on its day, and every amount taken away one period later.
     """
-    states = _states(daily, periods)
-    row = lambda day, is_day, values: F.struct(day.cast("long").alias("day"), F.lit(is_day).alias("is_day"), *[v.cast(states[s][2]).alias(s) for s, v in values.items()])
-    none = F.lit(None)
-    moves = [row(F.col("day_no"), False, {s: F.col(m) for s, (m, _, _) in states.items()})]
-    for p in periods:
-        moves.append(row(F.col("day_no") + p, False, {s: -F.col(m) if q == p else none for s, (m, q, _) in states.items()}))
-    moved = daily.select("entity", F.inline(F.array(*moves))).withColumn("stretch", _stretch(F.col("day"), length))
-    eve = yesterday.select("entity", F.inline(F.array(row(F.col("day_no"), False, {s: F.col(s) for s in states})))).withColumn("stretch", _stretch(F.col("day") + 1, length))
+    states, measures = _states(daily, periods), _measures(daily)
+    # a row adds its amounts to one period, or to all (0); the days to bring add nothing (-1)
+    row = lambda day, period, values: F.struct(day.cast("long").alias("day"), F.lit(period).alias("period"), *[v.cast(daily.schema[m].dataType).alias(m) for m, v in zip(measures, values)])
+    moves = F.array(row(F.col("day_no"), 0, [F.col(m) for m in measures]), *[row(F.col("day_no") + p, p, [-F.col(m) for m in measures]) for p in periods])
+    moved = daily.select("entity", F.inline(moves)).withColumn("stretch", _stretch(F.col("day"), length))
+    eve = yesterday.select("entity", F.inline(F.array(*[row(F.col("day_no"), p, [F.col(f"{m}_{p}") for m in measures]) for p in periods]))).withColumn("stretch", _stretch(F.col("day") + 1, length))
     every = days.select("entity", _stretch(F.col("first_day"), length).alias("stretch"), F.explode(F.sequence("first_day", "last_day")).alias("d"))
-    grid = every.select("entity", "stretch", F.inline(F.array(row(F.col("d"), True, {s: none for s in states}))))
+    grid = every.select("entity", "stretch", F.inline(F.array(row(F.col("d"), -1, [F.lit(None)] * len(measures)))))
     upto = Window.partitionBy("entity", "stretch").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
-    both = moved.unionByName(eve).unionByName(grid)
-    run = both.select("entity", "day", "is_day", *[F.coalesce(F.sum(s).over(upto), F.lit(0)).cast(k).alias(s) for s, (_, _, k) in states.items()])
-    return run.where("is_day").select("entity", F.col("day").alias("day_no"), F.lit(version).cast("long").alias("version"), *states)
+    total = lambda m, p: F.sum(F.when(F.col("period").isin(0, p), F.col(m))).over(upto)
+    run = moved.unionByName(eve).unionByName(grid).select("entity", "day", "period", *[F.coalesce(total(m, p), F.lit(0)).cast(k).alias(s) for s, (m, p, k) in states.items()])
+    return run.where("period = -1").select("entity", F.col("day").alias("day_no"), F.lit(version).cast("long").alias("version"), *states)
 
 
 def build(daily: DataFrame, periods: list[int], days: DataFrame | None = None, length: int = STRETCH, version: int = 1) -> DataFrame:
@@ -129,8 +141,12 @@ def correct(state: DataFrame, changes: DataFrame, periods: list[int], version: i
     return state.join(delta, ["entity", "day_no"]).select("entity", "day_no", F.lit(version).cast("long").alias("version"), *sums)
 
 
-def current(state: DataFrame) -> DataFrame:
-    """The newest version of every entity and day."""
+def current(state: DataFrame, *corrections: DataFrame) -> DataFrame:
+    """The newest version of every entity and day: of a state that holds several, or of one and its corrections, the later ones last."""
+    if corrections:
+        for new in corrections:
+            state = state.join(new.select("entity", "day_no"), ["entity", "day_no"], "left_anti").unionByName(new)
+        return state
     values = [c for c in state.columns if c not in ("entity", "day_no", "version")]
     best = state.groupBy("entity", "day_no").agg(F.max(F.struct("version", *values)).alias("s"))
     return best.select("entity", "day_no", "s.version", *[F.col(f"s.{v}").alias(v) for v in values])

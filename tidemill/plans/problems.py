@@ -11,7 +11,7 @@ from ..functions.timeaxis import day_string, micros
 from ..operators.gridfill import regular_grid
 from ..operators.implausible import implausible, quote_limits
 from ..operators.readings import quote_loads, quote_readings
-from ..operators.rolling import build, correct, current, daily_amounts, spans
+from ..operators.rolling import amount_columns, build, correct, current, spans
 from ..operators.sessions import sessions
 from ..operators.skew import frequent_values, salted_aggregate, unpivot_values
 from .cut import table_cut
@@ -98,46 +98,44 @@ PERIODS = [7, 30]
 LATE_DAYS = 1
 
 
-def _quote_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _quote_versions(spark: SparkSession, folder: str, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(state, corrections, days) of the quotes: version 1 from the loads on time, version 2 of the days that late loads touch."""
-    loads = quote_loads(_table(spark, folder, "quotes"), ["close", "volume"], LATE_DAYS)
-    amounts = lambda load: daily_amounts(
-        loads.where(f"{load} is not null"), "symbol", "day", {"volume": F.when(F.col(f"{load}.volume") > 0, F.col(f"{load}.volume")).otherwise(F.lit(0)), "close": F.col(f"{load}.close")}
-    )
-    first, latest = amounts("first"), amounts("latest")
-    measures = [c for c in latest.columns if c not in ("entity", "day_no")]
-    before = first.select("entity", "day_no", *[F.col(m).alias(f"_{m}") for m in measures])
+    loads = quote_loads(_table(spark, folder, "quotes"), names, LATE_DAYS)
+    # a negative or absent volume is 0
+    values = lambda load: {n: F.greatest(F.coalesce(F.col(f"{load}.{n}"), F.lit(0)), F.lit(0)) if n == "volume" else F.col(f"{load}.{n}") for n in names}
+    latest, first = amount_columns(loads, values("latest")), amount_columns(loads, values("first"))
     # a day without a load on time has nothing yet
-    both = latest.join(before, ["entity", "day_no"], "left").select(
-        "entity", "day_no", *[F.coalesce(f"_{m}", F.lit(0)).cast(latest.schema[m].dataType).alias(f"_{m}") for m in measures], *[(F.col(m) - F.coalesce(f"_{m}", F.lit(0))).cast(latest.schema[m].dataType).alias(m) for m in measures]
-    )
-    both = table_cut(both, "amounts")
-    days = spans(both)
-    state = table_cut(build(both.select("entity", "day_no", *[F.col(f"_{m}").alias(m) for m in measures]), PERIODS, days), "state")
+    first = {m: F.when(F.col("first").isNotNull(), c).otherwise(F.lit(0)).cast(loads.select(c.alias("c")).schema["c"].dataType) for m, c in first.items()}
+    kinds = loads.select(*[c.alias(m) for m, c in latest.items()]).schema
+    changes = [(latest[m] - first[m]).cast(kinds[m].dataType).alias(f"{m}_change") for m in latest]
+    daily = loads.select(F.col("symbol").alias("entity"), F.unix_date("day").cast("long").alias("day_no"), *[first[m].alias(m) for m in latest], *changes)
+    daily = table_cut(daily, "amounts")
+    days, late = spans(daily), daily.select("entity", "day_no", *[F.col(f"{m}_change").alias(m) for m in latest])
+    state = table_cut(build(daily.select("entity", "day_no", *latest), PERIODS, days), "state")
     changed = F.lit(False)
-    for m in measures:
+    for m in latest:
         changed = changed | (F.col(m) != 0)
-    return state, correct(state, both.select("entity", "day_no", *measures).where(changed), PERIODS, 2), days
+    return state, correct(state, late.where(changed), PERIODS, 2), days
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Days whose last 7 days hold more than half of the volume of the last 30."""
-    state, corrections, days = _quote_versions(spark, folder)
-    hits = current(state.unionByName(corrections)).where(2 * F.col("volume_sum_7") > F.col("volume_sum_30"))
+    state, corrections, days = _quote_versions(spark, folder, ["volume"])
+    hits = current(state, corrections).where(2 * F.col("volume_sum_7") > F.col("volume_sum_30"))
     found = hits.join(days.select("entity", "first_day"), "entity").where(F.col("day_no") >= F.col("first_day") + 29)
     return found.select(F.col("entity").alias("symbol"), day_string(F.col("day_no")).alias("day"))
 
 
 def p7_corrections(spark: SparkSession, folder: str) -> DataFrame:
     """The days that late loads touch, with their new totals."""
-    corrections = _quote_versions(spark, folder)[1]
+    corrections = _quote_versions(spark, folder, ["volume", "close"])[1]
     return corrections.select(F.col("entity").alias("symbol"), day_string(F.col("day_no")).alias("day"), "version", *[F.col(f"volume_sum_{p}").cast("long").alias(f"volume_total_{p}") for p in PERIODS])
 
 
 def p7_rolling(spark: SparkSession, folder: str) -> DataFrame:
     """Totals and averages of volume and close over the last 7 and 30 days, for every day of a symbol."""
-    state, corrections, _ = _quote_versions(spark, folder)
-    state = current(state.unionByName(corrections))
+    state, corrections, _ = _quote_versions(spark, folder, ["close", "volume"])
+    state = current(state, corrections)
     cols = []
     for p in PERIODS:
         cols += [
