@@ -472,9 +472,9 @@ for _kind, _f in (("max", "max(value)"), ("min", "min(value)"), ("avg", "avg(val
         rows = _single(spark, folder)
         if kind == "prd":
             rows = rows.withColumn("value", 1 + (F.col("value") - 50) / 100000)
-        return single.running(rows, ["ts"], "value", kind).select("event_id", F.round("running", 4).alias("result"))
+        return single.running(rows, ["ts"], "value", kind).select("event_id", F.round(F.col("running") + HALF, 4).alias("result"))
 
-    query(f"single_cum_{_kind}", f"select event_id, round({_f} over (order by ts rows unbounded preceding), 4) as result from events")(_single_cum)
+    query(f"single_cum_{_kind}", f"select event_id, round({_f} over (order by ts rows unbounded preceding) + 1e-7, 4) as result from events")(_single_cum)
 
 
 @query(
@@ -1097,7 +1097,7 @@ def _lots(spark, folder) -> tuple[DataFrame, str]:
     m as (select user_id, pos, ts, value::double as ema, value::double as atr, value as running from g where pos = 0 union all
           select g.user_id, g.pos, g.ts, g.value * 2.0 / {_N + 1} + m.ema * (1 - 2.0 / {_N + 1}), (m.atr * (least(g.pos + 1, {_N}) - 1) + g.value) / least(g.pos + 1, {_N}), m.running + g.value from m join g on g.user_id = m.user_id and g.pos = m.pos + 1)
     select s.user_id, epoch_us(s.ts) as us, m.pos is null as late, coalesce(m.pos, -1) as pos, round(running, 4) as running, round(ema, 6) as ema, round(atr, 6) as atr,
-           case when m.pos is not null then min(s.value) filter (m.pos is not null) over w end as low, case when m.pos is not null then round(var_pop(s.value) filter (m.pos is not null) over w, 3) end as var
+           case when m.pos is not null then min(s.value) filter (m.pos is not null) over w end as low, case when m.pos is not null then round(var_pop(s.value) filter (m.pos is not null) over w + 1e-7, 3) end as var
     from seen s left join m on s.user_id = m.user_id and s.ts = m.ts window w as (partition by s.user_id order by s.lot, s.ts rows unbounded preceding)""",
 )
 def _(spark, folder):
@@ -1108,7 +1108,7 @@ def _(spark, folder):
     into_table(running_state(stream, "user_id", "ts", "value", _N), out, marks)
     found = spark.read.parquet(out)
     known = lambda c, digits: F.when(~F.col("late"), F.round(c, digits)).alias(c)
-    return found.select(F.col("key").alias("user_id"), micros(found, "ts").alias("us"), "late", "pos", known("running", 4), known("ema", 6), known("atr", 6), F.when(~F.col("late"), F.col("low")).alias("low"), known("var", 3))
+    return found.select(F.col("key").alias("user_id"), micros(found, "ts").alias("us"), "late", "pos", known("running", 4), known("ema", 6), known("atr", 6), F.when(~F.col("late"), F.col("low")).alias("low"), F.when(~F.col("late"), F.round(F.col("var") + HALF, 3)).alias("var"))
 
 
 @query("stream_grid", f"with {_LOTS}, p as (select user_id, value, row_number() over (partition by user_id order by lot, ts) - 1 as pos from lots) select user_id, pos // 6 as cell, count(*) as n, round(sum(value), 4) as total, min(value) as low, max(value) as high from p group by user_id, pos // 6 having count(*) = 6")
