@@ -64,10 +64,21 @@ BLOCK_BYTES = 4 << 20
 
 def cleaned(text: Column) -> Column:
     """Text without tags, style codes, byte-order marks and carriage returns; notes on sounds are one symbol, the usual character references are read."""
-    out = F.translate(text, "﻿\r", "")
-    out = F.regexp_replace(F.regexp_replace(out, MARKUP, ""), SOUND, NOTE)
+    # each step only where there is something to do: the byte searches cost less than the patterns
+    where = lambda c, signs, done: F.when(_any(text, signs), done).otherwise(c)
+    out = F.replace(F.replace(text, F.lit("\ufeff"), F.lit("")), F.lit("\r"), F.lit(""))
+    out = where(out, ["<", "{\\"], F.regexp_replace(out, MARKUP, ""))
+    out = where(out, ["[", "(", "*"], F.regexp_replace(out, SOUND, NOTE))
+    read = out
     for name, char in REFERENCES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
+        read = F.replace(read, F.lit(name), F.lit(char))
+    return where(out, ["&"], read)
+
+
+def _any(text: Column, signs: list[str]) -> Column:
+    out = F.lit(False)
+    for sign in signs:
+        out = out | F.contains(text, F.lit(sign))
     return out
 
 
