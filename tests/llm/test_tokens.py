@@ -87,6 +87,24 @@ def test_other_ids_and_vocabulary(spark):
     assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
+def test_null_ids_come_back_null(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (4, None)], "doc_id int, text string")
+    ids = tokens.encode_corpus(df, null_ids=[-1])
+    assert {r.doc_id: r.text for r in tokens.decode_corpus(ids, null_ids=[-1]).collect()} == {1: None, 2: "", 3: "a", 4: None}
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [64, 64])], "doc_id int, ids array<int>")
+    assert {r.doc_id: r.text for r in tokens.decode_corpus(rows, block_ids=1).collect()} == {1: None, 2: "", 3: "aa"}
+    assert tokens.decode_corpus(rows.where("false")).count() == 0
+
+
+def test_words_in_groups_of_blocks(spark):
+    texts = random_texts(9, 80)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blocks = tokens.split_blocks(df, "doc_id", "text", 40)
+    ranks = tokens.rank_bytes("byte_bpe_50k")
+    one, many = (sorted((r.block, r.code, tuple(r.ids)) for r in tokens.word_ids(blocks, ranks, group).collect()) for group in (10**6, 3))
+    assert one == many and blocks.count() > 9
+
+
 def test_token_table(spark):
     table = tokens.token_table(spark)
     assert table.count() == 50256 and table.select("token_bytes").distinct().count() == 50256

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.cut import table_cut
@@ -34,6 +34,20 @@ def p2_distinct(spark: SparkSession, folder: str) -> DataFrame:
     return distinct.estimate(sets, ["period", "grouping", *keys])
 
 
+def p2_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each grouping, the number of groups, and whether at least 0.99 of the exact counts lie within the stated bounds."""
+    log = _table(spark, folder, "crashlog").where("log_time is not null and uid > 0")
+    name = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit("")).alias(c)
+    rows = log.select("uid", F.explode(F.array(F.date_format("log_time", "yyyy-MM-dd"), F.date_format("log_time", "yyyy-MM"))).alias("period"), name("country"), name("device"))
+    keys = ["country", "device"]
+    sets = F.array(*[F.struct(F.lit("+".join(s)).alias("grouping"), *[F.col(k).alias(k) if k in s else F.lit(None).cast("string").alias(k) for k in keys]) for s in ([], ["country"], ["device"], keys)])
+    on = ["period", "grouping", *keys]
+    exact = rows.select("uid", "period", F.inline(sets)).distinct().groupBy(*on).agg(F.count("*").alias("exact"))
+    found = p2_distinct(spark, folder)
+    both = exact.join(found, [exact[c].eqNullSafe(found[c]) for c in on], "left").select(exact["grouping"], F.coalesce((F.col("exact") >= F.floor("low")) & (F.col("exact") <= F.ceil("high")), F.lit(False)).alias("inside"))
+    return both.groupBy("grouping").agg(F.count("*").alias("n_groups"), (F.count_if("inside") >= 0.99 * F.count("*")).alias("within"))
+
+
 PROBABILITIES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
@@ -57,19 +71,39 @@ def p4_months_less_one(spark: SparkSession, folder: str) -> DataFrame:
     return whole.unionByName(less)
 
 
+def _within(rows: DataFrame, found: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, column, p, n, within): whether the exact ranks of the percentiles hold p within the stated error."""
+    wanted = found.groupBy(*groups, "column").agg(F.collect_list(F.struct("p", "value", "rank_error")).alias("wanted"))
+    columns = ["l_extendedprice", "l_quantity"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = rows.select(*groups, F.inline(pairs)).where("x is not null and not isnan(x)")
+    # one row a group and column, of which there are few: the groups of the reports
+    each = long.join(F.broadcast(wanted.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("column").alias("_column"), "wanted")), [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.col("column") == F.col("_column")])
+    counted = each.select(*groups, "column", "x", F.inline("wanted")).groupBy(*groups, "column", "p", "value", "rank_error").agg(F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto"), F.count("*").alias("n"))
+    ok = (F.col("below") / F.col("n") <= F.col("p") + F.col("rank_error") + 1 / F.col("n")) & (F.col("upto") / F.col("n") >= F.col("p") - F.col("rank_error") - 1 / F.col("n"))
+    return counted.select(*groups, "column", "p", "n", (ok & (F.col("rank_error") < 0.1)).alias("within"))
+
+
+def p4_within(spark: SparkSession, folder: str) -> DataFrame:
+    """The percentiles of lineitems against exact ranks."""
+    return _within(_table(spark, folder, "lineitems"), p4_percentiles(spark, folder), ["l_returnflag", "l_linestatus"])
+
+
+def p4_lineitem_within(spark: SparkSession, folder: str) -> DataFrame:
+    """The percentiles of lineitem against exact ranks."""
+    return _within(_table(spark, folder, "lineitem"), p4_lineitem(spark, folder), ["l_returnflag", "l_linestatus"])
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(_table(spark, folder, "documents"))
 
 
 def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document decoded again: its number of ids and whether the text came back whole."""
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
-    ids = tokens.encode_corpus(docs)
-    n = ids.select("doc_id", F.size("ids").alias("n_tokens"))
-    back = tokens.decode_corpus(ids).select("doc_id", F.xxhash64("text").alias("h"))
-    truth = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("want"))
-    return n.join(back, "doc_id").join(truth, "doc_id").select("doc_id", "n_tokens", (F.col("h") == F.col("want")).alias("same"))
+    """Every document encoded, decoded again and hashed; null texts have ids of their own and come back null."""
+    ids = tokens.encode_corpus(_table(spark, folder, "documents"), null_ids=[-1])
+    back = tokens.decode_corpus(ids, null_ids=[-1])
+    return back.select("doc_id", F.md5("text").alias("text_hash"))
 
 
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -89,6 +123,21 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """For every source of the targets, whether it is met: its share, or all it may give, to within its largest document, and no document more often than allowed."""
+    documents, report = _mixture(spark, folder)
+    targets = _table(spark, folder, "mix_targets").select(mixture.canonical(F.col("source")).alias("source"), "max_repeats")
+    largest = documents.groupBy("source").agg(F.max("n_tokens").alias("largest"), F.max("copies").alias("most"))
+    rows = report.join(targets, "source").join(largest, "source", "left")
+    planned = F.col("epochs") * F.col("size")
+    met = (F.abs(F.col("mixed_size") - planned) <= F.coalesce("largest", F.lit(0))) & (F.coalesce("most", F.lit(0)) <= F.col("max_repeats"))
+    # what isn't at its limit has its share of the rest
+    free = (F.col("epochs") < F.col("max_repeats")) & (F.col("size") > 0) & (F.col("target_share") > 0)
+    level = F.when(free, F.col("planned_share") / F.col("target_share"))
+    spread = F.max(level).over(Window.partitionBy(F.lit(0))) - F.min(level).over(Window.partitionBy(F.lit(0)))
+    return rows.select("source", "target_share", met.alias("met"), (F.coalesce(spread, F.lit(0.0)) < 1e-9).alias("level"), (F.abs(F.col("actual_share") - F.col("planned_share")) < 0.01).alias("near"))
+
+
 def _labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return _table(spark, folder, "documents"), _table(spark, folder, "common_words"), _table(spark, folder, "doc_labels")
 
@@ -103,10 +152,33 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored_statistics(*_labelled(spark, folder)).withColumnRenamed("row_id", "doc_id").drop("state")
 
 
+def p10_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of cues of every document with time lines, as the statistics have it."""
+    docs, words, _ = _labelled(spark, folder)
+    stats = quality.text_statistics(docs, words).select(F.col("row_id").alias("doc_id"), F.col("stats")[quality.STATISTICS.index("n_cues")].cast("long").alias("n_cues"))
+    return stats.join(docs.where(F.contains("text", F.lit("-->"))).select("doc_id"), "doc_id", "left_semi")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p2_distinct, p4_percentiles, p4_lineitem, p4_months_less_one, p8_ids, p8_round_trip, p9_mixture, p9_report, p10_found, p10_statistics)
+    named = (
+        p2_distinct, p2_within, p4_percentiles, p4_lineitem, p4_months_less_one, p4_within, p4_lineitem_within, p8_ids, p8_round_trip, p9_mixture, p9_report, p9_checks, p10_found, p10_statistics, p10_plain,
+    )
     return {f.__name__: f for f in named}
 
 
+_WITHIN = """select l_returnflag, l_linestatus, c as "column", p, count(*) as n, true as within from (select l_returnflag, l_linestatus, unnest(['l_extendedprice', 'l_quantity']) as c, unnest([l_extendedprice, l_quantity]) as x from {table}),
+    (select unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::double[]) as p) where x is not null and not isnan(x) group by all"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_within": """with r as (select uid, unnest([strftime(log_time, '%Y-%m-%d'), strftime(log_time, '%Y-%m')]) as period, coalesce(lower(trim(country)), '') as country, coalesce(lower(trim(device)), '') as device
+            from crashlog where log_time is not null and uid > 0)
+            select grouping, count(*) as n_groups, true as within from (select distinct '' as grouping, period, null as c, null as d from r union all select distinct 'country', period, country, null from r
+            union all select distinct 'device', period, null, device from r union all select distinct 'country+device', period, country, device from r) group by grouping""",
+        "p4_within": _WITHIN.format(table="lineitems"),
+        "p4_lineitem_within": _WITHIN.format(table="lineitem"),
+        "p8_round_trip": "select doc_id, md5(text) as text_hash from documents",
+        "p9_checks": "select lower(trim(source)) as source, target_share, true as met, true as level, true as near from mix_targets where source is not null",
+        "p10_plain": "select doc_id, len(regexp_extract_all(text, '(?m)^[^\\n]*-->')) as n_cues from documents where text like '%-->%'",
+    }

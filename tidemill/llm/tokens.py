@@ -7,7 +7,11 @@ the corpus is encoded once; its ids go back to the blocks that hold it, and each
 block puts the ids of its codes in place of them, which reassembles the texts.
 
 No row of the shuffle by word is heavier than another: a word occurs at most
-once per block, however often it stands in the corpus.
+once per block, however often it stands in the corpus, and a word of very many
+blocks is one group per BLOCKS_A_GROUP of them.
+
+Decoding goes the same way: blocks keep a code per token and their list of
+distinct tokens, which is joined with the token-byte table.
 
 Results for special texts: null and empty texts get ``null_ids`` and
 ``empty_ids`` (both ``[]`` unless given); a text of blanks is a text like any
@@ -34,6 +38,8 @@ from .textblocks import LETTER, SPACE, Block, class_table, decode, run_starts, s
 TOKENIZERS = os.environ.get("TIDEMILL_TOKENIZERS", "/opt/tokenizers")
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Blocks whose words are encoded together; a corpus of fewer encodes each distinct word once.
+BLOCKS_A_GROUP = 1 << 16
 #: The splitting pattern of these vocabularies (fixed value). ``pretoken_starts`` splits by the same rule.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -163,10 +169,13 @@ def _encode_sorted(batches: Iterator[pa.RecordBatch], ranks: bytes) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())).take(words.indices)], ["block", "code", "ids"])
 
 
-def word_ids(blocks: DataFrame, ranks: bytes) -> DataFrame:
-    """Ids of every distinct word of each block: one shuffle by word, in whose order each word is encoded once."""
+def word_ids(blocks: DataFrame, ranks: bytes, group: int = BLOCKS_A_GROUP) -> DataFrame:
+    """Ids of every distinct word of each block: one shuffle by word, in whose order each word is encoded once (once for every ``group`` blocks)."""
+    # the number of blocks is a row count of the written table
+    groups = -(-blocks.count() // group)
     pairs = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    by_word = pairs.repartition("word").sortWithinPartitions("word")
+    salt = F.pmod(F.xxhash64("block"), F.lit(max(groups, 1)))
+    by_word = pairs.repartition("word", salt).sortWithinPartitions("word")
     return by_word.mapInArrow(lambda it: _encode_sorted(it, ranks), "block long, code int, ids array<int>")
 
 
@@ -242,28 +251,61 @@ def token_table(spark: SparkSession, vocabulary: str = "byte_bpe_50k", folder: s
     return spark.createDataFrame(rows, "token_id int, token_bytes binary")
 
 
-def _decode(batches: Iterator[pa.RecordBatch], data: bytes) -> Iterator[pa.RecordBatch]:
-    pairs = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, data.splitlines()))
-    table = pa.array([w for _, w in pairs], pa.large_binary())
-    index = np.full(pairs[-1][0] + 1, -1, np.int64)
-    index[[i for i, _ in pairs]] = np.arange(len(pairs))
+def _split_ids(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """(row_id, ids) rows -> blocks of at most about ``limit`` ids with a code per id and their distinct ids."""
+    from pyspark import TaskContext
+
+    part, seq = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        lengths = np.asarray(pc.list_value_length(batch.column(1)).fill_null(0)).astype(np.int64)
+        ends, a = np.cumsum(lengths), 0
+        while a < len(lengths):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+            lists = batch.column(1).slice(a, b - a)
+            coded = lists.flatten().dictionary_encode()
+            width, packed = _narrow(coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary))
+            at = np.concatenate(([0], np.cumsum(lengths[a:b])))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(part << 32) + seq], pa.int64()), pa.array([batch.column(0).slice(a, b - a)], pa.list_(batch.column(0).type)), pa.array([at], pa.list_(pa.int64())),
+                    pa.array([np.asarray(lists.is_valid())], pa.list_(pa.bool_())), pa.array([width], pa.int32()), pa.array([packed], pa.binary()), pa.array([coded.dictionary], pa.list_(pa.int32())),
+                ],
+                ["block", "row_ids", "tok_at", "present", "width", "codes", "tokens"],
+            )
+            seq, a = seq + 1, b
+
+
+def _join_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with (code, bytes) of their distinct tokens -> (row_id, text)."""
     for batch in batches:
-        lists = batch.column(1)
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        if len(flat) and (flat.min() < 0 or flat.max() >= len(index) or (index[flat] < 0).any()):
-            raise ValueError("an id isn't in the vocabulary")
-        parts = table.take(pa.array(index[flat]))
-        # what take() made is one buffer holding the tokens' bytes in order
-        ends = np.frombuffer(parts.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
-        joined = bytes(parts.buffers()[2] or b"") if len(flat) else b""
-        at = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists).fill_null(0)).astype(np.int64))))
-        texts = [None if not ok else joined[ends[a] : ends[b]].decode("utf-8", "replace") for a, b, ok in zip(at[:-1], at[1:], np.asarray(lists.is_valid()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row_id", "text"])
-
-
-def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """(id_col, text): a join of the ids with the token-byte table, which is bounded by the vocabulary and sent to all tasks. Null lists give null."""
-    data = rank_bytes(vocabulary, folder)
+        for i in range(batch.num_rows):
+            row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+            tok_at, present = row["tok_at"].values.to_numpy(zero_copy_only=False), row["present"].as_py()
+            texts: list[str | None] = ["" if ok else None for ok in present]
+            if tok_at[-1]:
+                found = row["found"].values
+                if (found.field("bytes").null_count) or len(found) == 0:
+                    raise ValueError("an id isn't in the vocabulary")
+                by_code = found.field("bytes").take(pa.array(np.argsort(found.field("code").to_numpy(zero_copy_only=False), kind="stable"))).cast(pa.large_binary())
+                parts = by_code.take(pa.array(_wide(row["codes"].as_py(), row["width"].as_py(), int(tok_at[-1])).astype(np.int64)))
+                # what take() made is one buffer holding the tokens' bytes in order
+                ends, joined = np.frombuffer(parts.buffers()[1], np.int64)[: len(parts) + 1], bytes(parts.buffers()[2] or b"")
+                texts = [joined[ends[a] : ends[b]].decode("utf-8", "replace") if ok else None for a, b, ok in zip(tok_at[:-1], tok_at[1:], present)]
+            yield pa.RecordBatch.from_arrays([row["row_ids"].values, pa.array(texts, pa.string())], ["row_id", "text"])
+
+
+def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str | None = None, null_ids: list[int] | None = None, block_ids: int = 1 << 21) -> DataFrame:
+    """(id_col, text): every block's distinct ids are joined with the token-byte table, and put in place of the codes. Null lists, and lists equal to null_ids if given, give null; an id outside the vocabulary is an error."""
     rows = encoded.select(encoded[id_col].alias("row_id"), encoded[ids_col].cast("array<int>").alias("ids"))
-    schema = T.StructType([T.StructField("row_id", rows.schema["row_id"].dataType), T.StructField("text", T.StringType())])
-    return rows.mapInArrow(lambda it: _decode(it, data), schema).withColumnRenamed("row_id", id_col)
+    if null_ids:
+        rows = rows.withColumn("ids", F.when(F.col("ids") != F.array(*[F.lit(int(i)) for i in null_ids]), F.col("ids")))
+    kind = rows.schema["row_id"].dataType
+    fields = [("block", T.LongType()), ("row_ids", T.ArrayType(kind)), ("tok_at", T.ArrayType(T.LongType())), ("present", T.ArrayType(T.BooleanType())), ("width", T.IntegerType()), ("codes", T.BinaryType()), ("tokens", T.ArrayType(T.IntegerType()))]
+    blocks = table_cut(rows.mapInArrow(lambda it: _split_ids(it, block_ids), T.StructType([T.StructField(*f) for f in fields])), "id-blocks")
+    pairs = blocks.select("block", F.posexplode("tokens").alias("code", "token_id"))
+    # the table has as many rows as the vocabulary
+    named = pairs.join(F.broadcast(token_table(rows.sparkSession, vocabulary, folder)), "token_id", "left")
+    found = named.groupBy("block").agg(F.collect_list(F.struct("code", F.col("token_bytes").alias("bytes"))).alias("found"))
+    whole = blocks.drop("tokens").join(found, "block", "left").select("row_ids", "tok_at", "present", "width", "codes", "found")
+    schema = T.StructType([T.StructField("row_id", kind), T.StructField("text", T.StringType())])
+    return whole.mapInArrow(_join_bytes, schema).withColumnRenamed("row_id", id_col)
