@@ -277,3 +277,78 @@ def test_saved_store_comes_back_whole(spark, tmp_path):
     pq.write_table(pa.table({name: pa.array(values, kind) for name, kind, values in columns}), f"{tmp_path}/events.parquet")
     out = sorted((r.user_id, r.pos, r.event_id) for r in reference.queries()["store_save_all"](spark, str(tmp_path)).collect())
     assert out == [(u, k, 10 * u + k) for u in (3, 8, 9) for k in range(3)]
+
+
+def test_slices_are_filters_of_the_scan(spark, tmp_path):
+    rows = [(k, datetime.datetime(2024, 1, 1 + d), float(d)) for k in range(5) for d in range(20)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events")
+    store = Store.load(spark.read.parquet(f"{tmp_path}/events"), "ts", ["user_id"])
+    part = store.get([1, 3], datetime.datetime(2024, 1, 5), datetime.datetime(2024, 1, 8)).series.df
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    assert "ts" in pushed and "user_id" in pushed and "GreaterThanOrEqual" in pushed and "In(user_id" in pushed
+    assert sorted((r.user_id, r.pos, r.value) for r in part.collect()) == [(k, i, 4.0 + i) for k in (1, 3) for i in range(4)]
+    # nothing but the rows asked for is read, and what is read has no null ids
+    bad = Store.load(spark.read.parquet(f"{tmp_path}/events").withColumn("user_id", F.nullif("user_id", F.lit(2))), "ts", ["user_id"])
+    with pytest.raises(Exception, match="null in user_id"):
+        bad.get().series.df.collect()
+
+
+def test_comparisons_of_every_type(spark):
+    d, t = datetime.date(2024, 1, 2), datetime.datetime(2024, 1, 2, 3)
+    rows = [("b", d, t, 2.0, 2), ("a", d.replace(day=3), t.replace(hour=4), math.nan, 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "s string, d date, t timestamp_ntz, x double, n int").coalesce(1)
+    for c, other in (("s", F.lit("b")), ("d", F.lit(d)), ("t", F.lit(t).cast("timestamp_ntz")), ("x", F.lit(2.0)), ("n", F.lit(2))):
+        got = [tuple(r) for r in df.select(*[f(F.col(c), other) for f in (S.eq, S.ne, S.lt, S.le, S.gt, S.ge)]).collect()]
+        second = {"s": (False, True, True, True, False, False), "x": (False, True, False, False, False, False), "n": (False, True, True, True, False, False)}.get(c, (False, True, False, False, True, True))
+        assert got == [(True, False, False, True, False, True), second, (None,) * 6], c
+    row = spark.range(1).select(S.maxof(F.lit(None).cast("int"), F.lit(1)).alias("a"), S.maxof(F.lit(1), F.lit(None).cast("int")).alias("b"), S.minof(F.lit("x"), F.lit("a")).alias("c"), S.int_mod(F.lit(2**53 + 1), F.lit(2)).alias("d")).first()
+    assert tuple(row) == (None, None, "a", 1)
+
+
+def test_calls_are_counted_and_traced(spark, caplog):
+    from tidemill.operators import udf
+    from tidemill.plans import reference  # noqa: F401  watches the operators
+
+    udf.profile(spark, reset=True)
+    udf.trace(True)
+    with caplog.at_level("INFO", logger="tidemill"):
+        agg.one("sum", "v")
+        agg.one("sum", "v")
+    udf.trace(False)
+    assert {r.command: r.counter for r in udf.profile(spark, reset=True).collect()} == {"agg.one": 2, "TOTAL": 2} and [r.message for r in caplog.records] == ["agg.one"] * 2
+    assert {r.command: r.counter for r in udf.profile(spark).collect()} == {"TOTAL": 0}
+
+
+def test_types_and_keys(spark):
+    df = spark.createDataFrame([(1, 2.0, "a", datetime.date(2024, 1, 1))], "i int, f float, s string, d date")
+    assert [ty.type_of(df, c) for c in "ifsd"] == ["int4", "float4", "bpchar", "date"] and [ty.elem_size(df, c) for c in "ifsd"] == [4, 4, None, 4]
+    with pytest.raises(ValueError):
+        ty.type_of(df.select(F.array("i").alias("a")), "a")
+    key = df.select(S.as_type(S.cat(a=F.col("i"), b=F.col("s")), "struct<x: string, y: string>").alias("k")).first().k
+    assert (key.x, key.y) == ("1", "a")
+    assert df.select(S.join_strings(F.col("s"), F.lit(None).cast("string")).alias("j")).first().j is None
+
+
+def test_streams_in_several_batches(spark, tmp_path):
+    from tidemill.streaming import append
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    lots = [[("a", at(1), 1.0), ("a", at(3), 3.0), ("b", at(5), 7.0), (None, at(1), 1.0)], [("a", at(2), 100.0), ("a", at(3), 5.0), ("a", None, 1.0)], [("b", at(6), 1.0), ("a", at(9), 0.0), ("b", at(4), 50.0)]]
+    schema = "k string, ts timestamp_ntz, v double"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    for n, lot in enumerate(lots):
+        spark.createDataFrame(lot, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        # every run takes up the state of the one before
+        store = append.append_to_store(source, f"{tmp_path}/store", f"{tmp_path}/marks", "k", "ts", "v")
+    got = {k: [r.v for r in store.get(k).series.df.orderBy("pos").collect()] for k in "ab"}
+    assert got == {"a": [1.0, 3.0, 5.0, 0.0], "b": [7.0, 1.0]}
+    append.into_table(append.running_state(source, "k", "ts", "v", 2), f"{tmp_path}/out", f"{tmp_path}/marks2")
+    rows = {(r.key, r.pos): r for r in spark.read.parquet(f"{tmp_path}/out").collect() if not r.late}
+    a = [rows["a", i] for i in range(4)]
+    assert [r.running for r in a] == [1, 4, 9, 9] and [r.low for r in a] == [1, 1, 1, 0] and [r.high for r in a] == [1, 3, 5, 5] and near([r["var"] for r in a], [0, 1, 8 / 3, 3.6875])
+    assert near([r.ema for r in a], [1, 7 / 3, 37 / 9, 37 / 27]) and near([r.atr for r in a], [1, 2, 3.5, 1.75])
+    assert spark.read.parquet(f"{tmp_path}/out").where("late").count() == 2
+    append.into_table(append.running_grid(source, "k", "ts", "v", 2), f"{tmp_path}/grid", f"{tmp_path}/marks3")
+    assert sorted((r.key, r.cell, r.total) for r in spark.read.parquet(f"{tmp_path}/grid").collect()) == [("a", 0, 4.0), ("a", 1, 105.0), ("b", 0, 57.0)]

@@ -90,6 +90,13 @@ def test_grid_at_times_of_a_calendar(spark, chunk, step):
     assert got == want
 
 
+def test_grid_across_a_long_gap(spark):
+    df = spark.createDataFrame([("a", 3, 0.0), ("a", 30_005, 3000.2)], "s string, t bigint, v double")
+    for step in (1, 7):
+        out = regular_grid(df, "s", "t", "v", step=step, chunk=100).orderBy("t").collect()
+        assert [r.t for r in out] == list(range(-(-3 // step) * step, 30_006, step)) and out[-1].filled == pytest.approx((out[-1].t - 3) / 10)
+
+
 def test_grid_of_dates_and_nothing(spark):
     df = spark.createDataFrame([("a", day(0), 1.0), ("a", day(3), 4.0)], "s string, d date, v double")
     out = [(r.t - 14610, r.filled) for r in regular_grid(df, "s", "d", "v").orderBy("t").collect()]

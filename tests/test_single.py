@@ -128,3 +128,84 @@ def test_pieces_shorter_than_the_reach(spark):
     df = spark.createDataFrame([(t, float(t)) for t in range(40)], "t bigint, v double")
     with pytest.raises(Exception, match="fewer rows"):
         single.pieces(df, ["t"], 30, (), 8).df.collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 400])
+def test_ordered_operators_in_chunks(spark, n):
+    """A long series among short ones, null ids among them, against plain models; ties and plateaus."""
+    rnd = random.Random(n)
+    rows = [("hot", t, rnd.choice([0.0, 1.5, 1.5, -2.25])) for t in range(n)] + [(k, t, rnd.choice([1.0, 3.0])) for t in range(n // 8) for k in ("a", "b", None)] + [("one", 1, 5.0)] * (n > 0)
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t bigint, v double").withColumn("chunk0", F.lit(1))
+    by = {}
+    for k, t, v in sorted(rows, key=lambda r: r[1]):
+        by.setdefault(k, []).append((t, v))
+    order, ids, chunks = ["t"], ["k"], 5
+    rows_of = lambda out, c: {(r.k, r.t): r[c] for r in out.collect()}
+
+    def model(f):
+        return {(k, t): x for k, series in by.items() for (t, _), x in zip(series, f([v for _, v in series]))}
+
+    new = lambda v: [i == 0 or v[i] != v[i - 1] for i in range(len(v))]
+    assert rows_of(single.runs(df, order, "v", "x", ids, chunks), "x") == model(lambda v: (pd.Series(new(v)).cumsum() - 1).tolist())
+    assert set(rows_of(single.unique(df, order, "v", ids, chunks), "v")) == {i for i, x in model(new).items() if x}
+
+    def trend(v):
+        out = [0] * len(v)
+        for i in range(1, len(v)):
+            d = v[i] - v[i - 1]
+            out[i] = (d > 0) - (d < 0) or out[i - 1]
+        return out
+
+    assert rows_of(single.trend(df, order, "v", "x", ids, chunks), "x") == model(trend)
+    for down in (False, True):
+        rank = lambda v, how: pd.Series(v).rank(method=how, ascending=not down).astype(int).tolist()  # noqa: B023, E731
+        assert rows_of(single.ranks(df, "v", "x", down, False, ids, chunks), "x") == model(lambda v: rank(v, "min"))  # noqa: B023
+        assert rows_of(single.ranks(df, "v", "x", down, True, ids, chunks), "x") == model(lambda v: rank(v, "dense"))  # noqa: B023
+        placed = single.positions(df, order, "pos", ids, chunks)
+        at = {k: sorted(range(len(s)), key=lambda i: (-s[i][1] if down else s[i][1], i)) for k, s in by.items()}  # noqa: B023
+        assert {(r.k, r.pos): r.from_pos for r in single.sort(placed, "v", "pos", down, ids, chunks).collect()} == {(k, p): i for k, a in at.items() for p, i in enumerate(a)}
+    for q in (1, 4):
+        want = {(k, p): sorted(v for _, v in s)[len(s) * p // q if p < q else len(s) - 1] for k, s in by.items() for p in range(q + 1)}
+        assert {(r.k, r.part): r.v for r in single.quantiles(df, "v", q, ids, chunks).collect()} == want
+    near = lambda got, want: set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+    for kind, f in (("avg", lambda s: s.expanding().mean()), ("var", lambda s: s.expanding().var(ddof=0)), ("dev", lambda s: s.expanding().std(ddof=0)), ("prd", lambda s: s.cumprod())):
+        scaled = df.withColumn("v", 1 + F.col("v") / 1000)
+        assert near(rows_of(single.running(scaled, order, "v", kind, "x", ids, chunks), "x"), model(lambda v: f(1 + pd.Series(v) / 1000).tolist())), kind  # noqa: B023
+
+    def smooth(v):
+        out, acc = [], 0.0
+        for i, x in enumerate(v):
+            k = min(i + 1, 6)
+            acc = (acc * (k - 1) + x) / k
+            out.append(acc)
+        return out
+
+    assert near(rows_of(single.smoothed_range(df, order, "v", 6, "x", ids, chunks), "x"), model(smooth))
+
+
+def test_averages_without_ids_are_spread(spark):
+    rows = [(t, float(t % 7)) for t in range(90)]
+    s = Series.of(spark.createDataFrame(rows, "t bigint, v double"), ["t"])
+    want = pd.Series([v for _, v in rows]).ewm(span=5, adjust=False).mean()
+    ema = windows.window_ema(s, "v", 5).df
+    assert {r.pos: r.ema for r in ema.collect()} == pytest.approx(dict(enumerate(want)))
+    assert "coalesce" not in ema._jdf.queryExecution().toString().lower().replace("coalesce(", "")
+    acc, atr = 0.0, {r.pos: r.atr for r in windows.window_atr(s, "v", 5).df.collect()}
+    for i, (_, v) in enumerate(rows):
+        k = min(i + 1, 5)
+        acc = (acc * (k - 1) + v) / k
+        assert atr[i] == pytest.approx(acc)
+
+
+def test_traces_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, t, float(t * t % 11)) for k, n in (("a", 40), ("b", 1), ("c", 7), (None, 8)) for t in range(n)]
+        df = spark.createDataFrame(rows, "k string, t bigint, v double")
+        for chunks in (1, 3):
+            assert {(r.k, r.t): (r.pos) for r in single.positions(df, ["t"], "pos", ["k"], chunks).collect()} == {(k, t): t for k, t, _ in rows}
+            v = {(k, t): x for k, t, x in rows}
+            assert {(r.k, r.t): r.change for r in single.changes(df, ["t"], "v", "change", ["k"], chunks).collect()} == {(k, t): x - v[k, t - 1] if t else 0 for k, t, x in rows}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from ..functions.timeaxis import MICROS_A_DAY, axis
 
 
+#: Grid points that are made from one row at a time.
+BLOCK_POINTS = 4096
+
+
 def regular_grid(
     readings: DataFrame, source: str, time: str, value: str, step: int = 1, calendar: DataFrame | None = None, calendar_time: str | None = None,
     max_gap: int | None = None, chunk: int | None = None,
@@ -46,7 +50,10 @@ def regular_grid(
     span = ends.withColumn("until", until)
     if calendar is None:
         span = span.withColumn("start", F.ceil(F.col("first.t") / step).cast("long") * step).where("start <= until")
-        points = span.select("source", "chunk", "after", F.explode(F.sequence("start", "until", F.lit(step).cast("long"))).alias("t"))
+        # in blocks, so that a long gap isn't one array of all its points
+        block = F.lit(BLOCK_POINTS * step).cast("long")
+        begun = span.select("source", "chunk", "after", "until", F.explode(F.sequence("start", "until", block)).alias("b"))
+        points = begun.select("source", "chunk", "after", F.explode(F.sequence("b", F.least(F.col("b") + block - step, F.col("until")), F.lit(step).cast("long"))).alias("t"))
     else:
         # a calendar time meets the chunks whose spans reach into its cell of the time axis
         cell = lambda t: F.floor(t / size).cast("long")

@@ -34,6 +34,10 @@ def quantiles(s: Series, value: str, q: int) -> DataFrame:
     """q + 1 order statistics: elements count * i div q of the sorted series for i < q, and the greatest."""
     w = Window.partitionBy(*s.ids).orderBy(F.col(value))
     numbered = s.df.select(*s.ids, F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("_k"), F.count(F.lit(1)).over(s.whole).alias("_n"))
-    # the parts that the element of rank k answers, of which most elements have none
-    wanted = F.array(*[F.when(F.col("_k") == F.call_function("div", F.col("_n") * i, F.lit(q)), F.lit(i)) for i in range(q)], F.when(F.col("_k") == F.col("_n") - 1, F.lit(q)))
-    return numbered.select(*s.ids, F.explode(F.array_compact(wanted)).alias("part"), "v")
+    # the element of rank k answers the parts i with k <= n * i / q < k + 1, the last one also q; most elements answer none
+    k, n = F.col("_k"), F.col("_n")
+    up = lambda x: F.call_function("div", x * q + n - 1, n)
+    answered = numbered.withColumn("_a", up(k)).withColumn("_b", F.least(up(k + 1), F.lit(q).cast("long")) - 1).where("_a <= _b or _k = _n - 1")
+    none = F.array().cast("array<int>")
+    parts = F.concat(F.when(F.col("_a") <= F.col("_b"), F.sequence(F.col("_a").cast("int"), F.col("_b").cast("int"))).otherwise(none), F.when(k == n - 1, F.array(F.lit(q))).otherwise(none))
+    return answered.select(*s.ids, F.explode(parts).alias("part"), "v")

@@ -56,10 +56,10 @@ def p3_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return _crash_sessions(spark, folder)
 
 
-def _quote_cases(spark: SparkSession, folder: str) -> DataFrame:
+def _quote_cases(spark: SparkSession, folder: str, chunk: int | None = None) -> DataFrame:
     fields = ["high", "low", "close", "volume"]
     readings = quote_readings(_table(spark, folder, "quotes"), fields)
-    return implausible(readings, "symbol", "day", fields, quote_limits(), {"close": True, "volume": False})
+    return implausible(readings, "symbol", "day", fields, quote_limits(), {"close": True, "volume": False}, chunk=chunk)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,6 +72,11 @@ def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return _quote_cases(spark, folder).select("symbol", day_string(F.col("t")).alias("day"), "limits", "spike", "stuck")
 
 
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with every symbol's values in pieces, as longer sources need it."""
+    return _quote_cases(spark, folder, 500).select("symbol", day_string(F.col("t")).alias("day"), "limits", "spike", "stuck")
+
+
 VALUE_COLUMNS = ["country", "device", "net"]
 
 
@@ -148,7 +153,7 @@ def p7_rolling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_grid, p3_found, p3_sessions, p5_found, p5_reasons, p6_found, p6_per_value, p7_found, p7_rolling, p7_corrections)}
+    return {f.__name__: f for f in (p1_found, p1_grid, p3_found, p3_sessions, p5_found, p5_reasons, p5_pieces, p6_found, p6_per_value, p7_found, p7_rolling, p7_corrections)}
 
 
 _READINGS = """
@@ -256,6 +261,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_sessions": f"{_SESSIONS} select * from s",
         "p5_found": f"{_CASES} select symbol, day from found",
         "p5_reasons": f"{_CASES} select * from found",
+        "p5_pieces": f"{_CASES} select * from found",
         "p6_found": f"""{_VALUES}, m as (select strftime(log_time, '%Y-%m') as ym, col_name, col_value from v where log_time is not null and col_name <> 'uid')
             select ym, col_name, col_value from (select *, count(*) as n, sum(count(*)) over (partition by ym, col_name) as total from m group by ym, col_name, col_value)
             where col_value is not null and n > 0.05 * total""",

@@ -205,7 +205,9 @@ def quantiles(df: DataFrame, value: str, q: int, ids: list[str] | tuple[str, ...
     places = F.array(*[F.struct(F.lit(i).alias("part"), (F.call_function("div", F.col("_all") * i, F.lit(q)) if i < q else F.col("_all") - 1).alias("k")) for i in range(q + 1)])
     # q + 1 rows a series; a value answers the places among its ranks
     if ids:
-        both = upto.join(sizes, list(ids)).withColumn("_p", F.filter(places, lambda x: (x["k"] < F.col("_upto")) & (x["k"] >= F.col("_upto") - F.col("_n"))))
+        named = sizes.select(*[F.col(c).alias(f"_id{k}") for k, c in enumerate(ids)], "_all")
+        on = [F.col(c).eqNullSafe(F.col(f"_id{k}")) for k, c in enumerate(ids)]
+        both = upto.join(named, on).withColumn("_p", F.filter(places, lambda x: (x["k"] < F.col("_upto")) & (x["k"] >= F.col("_upto") - F.col("_n"))))
     else:
         n = sizes.first()[0]
         both = upto.withColumn("_all", F.lit(n)).withColumn("_p", F.filter(places, lambda x: (x["k"] < F.col("_upto")) & (x["k"] >= F.col("_upto") - F.col("_n"))))
@@ -235,9 +237,9 @@ def _running_moments(df: DataFrame, order: list[str], value: str, kind: str, nam
     x = F.col(value).cast("double")
     parts = rows.groupBy(*ids, "chunk").agg(F.count(value).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(value)).alias("s"))
     m, n = F.coalesce("m", F.lit(0.0)), F.col("n")
-    joint = parts.withColumn("_n0", F.sum(n).over(before)).withColumn("_m0", F.sum(n * m).over(before) / F.nullif(F.col("_n0"), F.lit(0))).where("_n0 is not null")
+    joint = parts.withColumn("_n0", F.sum(n).over(before)).withColumn("_m0", F.sum(n * m).over(before) / F.nullif(F.col("_n0"), F.lit(0)))
     # around the mean of all pieces before: theirs within, and theirs between
-    joint = joint.withColumn("_all", F.collect_list(F.struct(n.alias("n"), m.alias("m"), F.coalesce("s", F.lit(0.0)).alias("s"))).over(before))
+    joint = joint.withColumn("_all", F.collect_list(F.struct(n.alias("n"), m.alias("m"), F.coalesce("s", F.lit(0.0)).alias("s"))).over(before)).where("_n0 is not null")
     spread = F.aggregate("_all", F.lit(0.0), lambda acc, p: acc + p["s"] + p["n"] * (p["m"] - F.col("_m0")) * (p["m"] - F.col("_m0")))
     named = joint.select(*[F.col(c).alias(f"_id{k}") for k, c in enumerate(ids)], F.col("chunk").alias("_chunk"), "_n0", F.coalesce("_m0", F.lit(0.0)).alias("_m0"), F.coalesce(spread, F.lit(0.0)).alias("_s0"))
     upto = _piece(ids, order).rowsBetween(Window.unboundedPreceding, 0)
