@@ -189,3 +189,13 @@ def test_labelled_documents(spark):
     found = {r.row_id for r in Q.not_prose(read("documents"), read("common_words"), labels, most_labelled=40).collect()}
     rest = {r.doc_id: r.label != "prose" for r in labels.collect() if r.doc_id not in fitted}
     assert len(rest) > 30 and sum(odd != (d in found) for d, odd in rest.items()) <= 0.1 * len(rest)
+
+
+def test_a_folder_without_labels(spark, tmp_path):
+    from tidemill.llm import queries
+
+    rnd = random.Random(5)
+    rows = [(i, cues(*(speech(rnd) for _ in range(8))), "en") for i in range(60)] + [(99, cues(*["Bralouth ....... 12"] * 8), "en")]
+    make(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    common_table(spark, "en").write.parquet(f"{tmp_path}/common_words.parquet")
+    assert 99 in {r.doc_id for r in queries.p10_found(spark, str(tmp_path)).collect()}

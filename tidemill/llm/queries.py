@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,8 +139,13 @@ def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("source", "target_share", met.alias("met"), (F.coalesce(spread, F.lit(0.0)) < 1e-9).alias("level"), (F.abs(F.col("actual_share") - F.col("planned_share")) < 0.01).alias("near"))
 
 
-def _labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return _table(spark, folder, "documents"), _table(spark, folder, "common_words"), _table(spark, folder, "doc_labels")
+def _labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Documents, common words and labels, or None where there is no table of labels."""
+    try:
+        labels = _table(spark, folder, "doc_labels")
+    except AnalysisException:
+        labels = None
+    return _table(spark, folder, "documents"), _table(spark, folder, "common_words"), labels
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
