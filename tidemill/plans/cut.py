@@ -9,6 +9,7 @@ is unset (tests on one machine) a temporary one is made.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,8 +21,8 @@ _made: dict[str, list[str]] = {}
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        # one machine and one process; anything else has executors elsewhere
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidemill-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
