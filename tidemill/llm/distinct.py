@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cut import table_cut
+
 BUCKETS = 2048
 #: Columns of the matrix; the last one stands for all further ranks.
 LEVELS = 42
@@ -93,10 +95,22 @@ def grouping_sets(sketches: DataFrame, keys: list[str], always: list[str]) -> Da
     """The sketches of every combination of ``keys`` within ``always``, as (always, grouping, keys, bucket, bits).
 
     ``grouping`` names the keys that take part, joined by '+' ('' for none); the
-    others are null in its rows. All combinations come from one pass over the
-    sketches.
+    others are null in its rows. ``sketches`` has one row per group and bucket, as
+    sketch and merge give them. Every combination is merged from one with a key
+    more, the combinations of equal size in one pass, so the rows that are merged
+    get fewer from step to step.
     """
-    sets = [c for n in range(len(keys) + 1) for c in itertools.combinations(keys, n)]
     kinds = {k: sketches.schema[k].dataType for k in keys}
-    forms = F.array(*[F.struct(F.lit("+".join(s)).alias("grouping"), *[(F.col(k) if k in s else F.lit(None).cast(kinds[k])).alias(k) for k in keys]) for s in sets])
-    return merge(sketches.select(*always, "bucket", "bits", F.inline(forms)), [*always, "grouping", *keys])
+    name = lambda s: "+".join(k for k in keys if k in s)
+    level = sketches.select(*always, F.lit(name(keys)).alias("grouping"), *keys, "bucket", "bits")
+    out = level
+    for size in range(len(keys) - 1, -1, -1):
+        forms = []
+        for s in itertools.combinations(keys, size):
+            # the combination with the first key that s lacks
+            parent = name([*s, next(k for k in keys if k not in s)])
+            form = F.struct(F.lit(name(s)).alias("grouping"), *[(F.col(k) if k in s else F.lit(None).cast(kinds[k])).alias(k) for k in keys])
+            forms.append(F.when(F.col("grouping") == parent, form))
+        level = table_cut(merge(level.select(*always, "bucket", "bits", F.inline(F.array_compact(F.array(*forms)))), [*always, "grouping", *keys]), "sketches")
+        out = out.unionByName(level)
+    return out

@@ -28,7 +28,7 @@ def p2_distinct(spark: SparkSession, folder: str) -> DataFrame:
     """Different uids per day, country, device and every combination of the two, and the same per month from the days' sketches."""
     # days and months both build on the sketches, not on the rows
     daily = table_cut(_daily_uids(spark, folder), "uid-sketches")
-    months = distinct.merge(daily.withColumn("day", F.substring("day", 1, 7)), ["day", "country", "device"])
+    months = table_cut(distinct.merge(daily.withColumn("day", F.substring("day", 1, 7)), ["day", "country", "device"]), "uid-sketches")
     both = daily.unionByName(months).withColumnRenamed("day", "period")
     keys = ["country", "device"]
     sets = distinct.grouping_sets(both, keys, ["period"])
