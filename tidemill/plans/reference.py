@@ -897,6 +897,11 @@ def _(spark, folder):
     return ty.from_array(ty.to_array(s.df, ["user_id"], "pos", "event_id"), "items", "pos", "event_id")
 
 
+@query("text_output", f"{_SIZED} select user_id, '{{' || string_agg(event_id, ',' order by pos) filter (pos < 5) || case when max(n) > 5 then ',...' else '' end || '}}' as text from n group by user_id")
+def _(spark, folder):
+    return ty.to_text(_events(spark, folder, "event_id").df, ["user_id"], "pos", "event_id", 5)
+
+
 @query("literals", "select unnest([0, 1, 2, 3]) as pos, unnest([3.14, 16.0, 10.0, -5.0]::double[]) as v")
 def _(spark, folder):
     whole = ty.sequence(spark, "int4:{0, 0x10, 012, -5}")
@@ -989,6 +994,17 @@ def _(spark, folder):
     return _store(spark, folder).span([3, 5], 1, -2).series.keep("event_id")
 
 
+@query("store_loaded", "select true as loaded, true as held, false as after")
+def _(spark, folder):
+    from ..sources.store import used_memory
+
+    s = _store(spark, folder).cache()
+    s.rows.count()
+    loaded, held = s.is_loaded(), used_memory(spark) > 0
+    s.drop()
+    return spark.createDataFrame([(loaded, held, s.is_loaded())], "loaded boolean, held boolean, after boolean")
+
+
 @query("store_truncate", "select user_id, 0::bigint as pos, event_id from events where false")
 def _(spark, folder):
     return _store(spark, folder).truncate().series.keep("event_id")
